@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.minhash import near_groups
 from tessera.llm.repetition import repetition
+from tessera.llm.suffixes import repeated_passages
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +21,10 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_repetition)}
+def op9_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_passages(_table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_repetition, op9_repeated_passages)}
 #: DuckDB's SQL for the same rows, where SQL can say it.
 ORACLE_SQL: dict[str, str] = {}
