@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.bpe import encode_and_check
 from tessera.llm.minhash import near_groups
 from tessera.llm.repetition import repetition
 from tessera.llm.suffixes import repeated_passages
@@ -25,6 +26,10 @@ def op9_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_repetition, op9_repeated_passages)}
+def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_and_check(_table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_repetition, op9_repeated_passages, op10_bpe)}
 #: DuckDB's SQL for the same rows, where SQL can say it.
 ORACLE_SQL: dict[str, str] = {}
