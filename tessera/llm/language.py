@@ -25,6 +25,8 @@ SAMPLE = 1500
 GRAMS = (1, 2, 3, 4)
 BUCKETS, WIDTH = 1 << 15, 16
 EPOCHS, RATE, BATCH = 5, 1.0, 32
+#: Steps of training on small samples, for which epochs are added.
+STEPS = 600
 #: Bytes of a training example; texts of the sample are split into pieces of this size, all of which are used.
 PIECE = 400
 #: The highest confidence that can be asked for.
@@ -102,6 +104,8 @@ class Model:
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and confidence; ``und`` for a text without subwords or below the least confidence."""
+        if not self.languages:
+            return ["und"] * len(column), np.zeros(len(column))
         z, size = self.logits(column)
         p = softmax(z / self.temperature)
         best = p.argmax(axis=1)
@@ -132,9 +136,10 @@ def train(rows: list[tuple[str, str]], seed: int = 0) -> Model:
     if len(languages) > 1 and parts[False]:
         ids, first = features(pa.array([p for p, _ in parts[False]]))
         gold = np.array([y for _, y in parts[False]])
-        steps = EPOCHS * -(-len(gold) // BATCH)
+        epochs = max(EPOCHS, -(-STEPS // -(-len(gold) // BATCH)))
+        steps = epochs * -(-len(gold) // BATCH)
         step = 0
-        for _ in range(EPOCHS):
+        for _ in range(epochs):
             order = rng.permutation(len(gold))
             for s in range(0, len(order), BATCH):
                 rate = RATE * (1 - step / steps)

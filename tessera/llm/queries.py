@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe import encode_and_check
+from tessera.llm.language import fit, identify
+from tessera.llm.licenses import licenses
 from tessera.llm.minhash import near_groups
 from tessera.llm.repetition import repetition
 from tessera.llm.suffixes import repeated_passages
@@ -22,6 +24,15 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(_table(spark, folder, "documents"))
 
 
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses(_table(spark, folder, "documents"))
+
+
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return identify(docs, fit(docs))
+
+
 def op9_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(_table(spark, folder, "documents"))
 
@@ -30,6 +41,6 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encode_and_check(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_repetition, op9_repeated_passages, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_repetition, op6_licenses, op8_language, op9_repeated_passages, op10_bpe)}
 #: DuckDB's SQL for the same rows, where SQL can say it.
 ORACLE_SQL: dict[str, str] = {}
