@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,6 +31,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver's JVM collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Written:
     """A table written as Parquet to the shared folder; ``drop()`` deletes it."""
 
@@ -44,6 +51,13 @@ class Written:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of an Arrow batch: with Spark's own 10,000, batches of long texts outgrow a Python worker.
+BATCH_ROWS = 1000
+
+
 def documents(docs: DataFrame, *columns: str) -> DataFrame:
     """The columns asked for, by name, of rows that have an id; other columns of any name are left aside."""
+    conf = docs.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.where(docs["doc_id"].isNotNull()).select(*[docs[c] for c in columns])
