@@ -35,13 +35,37 @@ def ranks(vocabulary: str) -> dict[bytes, int]:
 
 
 def _words(docs: DataFrame) -> DataFrame:
-    """``doc_id, version, words``; a null text has null words."""
+    """``key, doc_id, version, words``; a null text has null words."""
     texts = documents(docs, "doc_id", "text")
-    return texts.select("doc_id", F.xxhash64("text").alias("version"), F.regexp_extract_all("text", F.lit(f"(?U){PATTERN}"), F.lit(0)).alias("words"))
+    return texts.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.xxhash64("text").alias("version"), F.regexp_extract_all("text", F.lit(f"(?U){PATTERN}"), F.lit(0)).alias("words"))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterator[pa.RecordBatch], least: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches of at least so many words, as each batch is looked up in a fresh hash table."""
+    held: list[pa.RecordBatch] = []
     for b in batches:
+        held.append(b)
+        if sum(len(x.column("words").flatten()) for x in held) >= least:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _packed(ids: np.ndarray) -> bytes:
+    """Two bytes an id, low ones first, compressed."""
+    return pa.compress(ids.view(np.uint8).reshape(-1, 2).T.tobytes(), "zstd", asbytes=True) if len(ids) else b""
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint16)
+    flat = pa.decompress(packed, 2 * n, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(2, -1).T).view(np.uint16).ravel()
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _gathered(batches):
         counts = pc.value_counts(b.column("words").flatten())
         yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["word", "n"])
 
@@ -94,59 +118,50 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, head_bytes: int = HEAD
         word, ids = (known.column(c).chunk(0) if known.num_rows else pa.array([], known.schema.field(c).type) for c in ("word", "ids"))
         return word, ids.value_lengths().to_numpy().astype(np.int64), ids.flatten().to_numpy()
 
-    def found(b: pa.RecordBatch, word: pa.Array) -> np.ndarray:
-        at = pc.index_in(b.column("words").flatten(), value_set=word)
-        return pc.fill_null(at, -1).to_numpy().astype(np.int64)
-
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ids in two bytes each; a word that isn't in the head has one place, filled later, listed in ``gaps``."""
+        """Ids of the words of the head; any other word has one place, at ``gaps``, and stands in ``rare``."""
         word, length, ids = lookup()
         start = np.cumsum(length) - length
-        for b in batches:
-            at = found(b, word)
-            size = np.where(at >= 0, length[at], 1) if len(length) else np.ones(len(at), np.int64)
-            end = np.cumsum(size)
-            out = np.zeros(int(end[-1]) if len(end) else 0, np.uint16)
+        for b in _gathered(batches):
+            lists = b.column("words")
+            flat = lists.flatten()
+            at = pc.fill_null(pc.index_in(flat, value_set=word), -1).to_numpy().astype(np.int64)
             known = at >= 0
+            size = np.ones(len(at), np.int64)
+            size[known] = length[at[known]]
+            ends = np.append(0, np.cumsum(size))
+            out = np.zeros(ends[-1], np.uint16)
             n = size[known]
-            if known.any():
+            if len(n):
                 total = np.cumsum(n)
                 inner = np.arange(total[-1]) - np.repeat(total - n, n)
-                out[np.repeat((end - size)[known], n) + inner] = ids[np.repeat(start[at[known]], n) + inner]
-            words = np.zeros(b.num_rows + 1, np.int64)
-            np.cumsum(pc.fill_null(b.column("words").value_lengths(), 0).to_numpy(), out=words[1:])
-            ends = np.append(0, end)
+                out[np.repeat(ends[:-1][known], n) + inner] = ids[np.repeat(start[at[known]], n) + inner]
+            words = np.append(0, np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy()))
             gap = np.flatnonzero(~known)
             row = np.searchsorted(words, gap, side="right") - 1
-            gaps = ((end - size)[gap] - ends[words[row]]).astype(np.int32)
-            count = np.bincount(row, minlength=b.num_rows)
-            raw, cuts, none = out.tobytes(), (ends[words] * 2).tolist(), b.column("words").is_null().to_pylist()
-            offsets = pa.array(np.append(0, np.cumsum(count)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("version"), pa.array([None if x else raw[i:j] for i, j, x in zip(cuts, cuts[1:], none)], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(gaps))],
-                ["doc_id", "version", "packed", "gaps"],
-            )
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = lookup()[0]
+            cuts = ends[words]
+            offsets = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=b.num_rows))).astype(np.int32))
+            gaps = pa.ListArray.from_arrays(offsets, pa.array((ends[gap] - cuts[row]).astype(np.int32)))
+            rare = pa.ListArray.from_arrays(offsets, flat.take(pa.array(gap)))
+            packed = [_packed(out[i:j]) for i, j in zip(cuts.tolist(), cuts[1:].tolist())]
+            n_ids = pa.array(np.diff(cuts).astype(np.int32), mask=lists.is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), b.column("version"), n_ids, pa.array(packed, pa.binary()), gaps, rare], ["key", "doc_id", "version", "n_ids", "packed", "gaps", "rare"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gap = np.flatnonzero(found(b, word) < 0)
-            words = np.zeros(b.num_rows + 1, np.int64)
-            np.cumsum(pc.fill_null(b.column("words").value_lengths(), 0).to_numpy(), out=words[1:])
-            row = np.searchsorted(words, gap, side="right") - 1
-            first = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64), len(row))
-            nth = np.arange(len(row)) - np.repeat(first[:-1], np.diff(first))
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("version").take(take), pa.array(nth.astype(np.int32)), b.column("words").flatten().take(pa.array(gap))], ["doc_id", "version", "nth", "word"])
+            size = b.column("rare").value_lengths().to_numpy()
+            first = np.cumsum(size) - size
+            nth = np.arange(int(size.sum())) - np.repeat(first, size)
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(np.repeat(np.arange(b.num_rows), size))), pa.array(nth.astype(np.int32)), b.column("rare").flatten()], ["key", "nth", "word"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for packed, gaps, put in zip(b.column("packed").to_pylist(), b.column("gaps").to_pylist(), b.column("put").to_pylist()):
-                if packed is None:
+            for n, packed, gaps, put in zip(*(b.column(c).to_pylist() for c in ("n_ids", "packed", "gaps", "put"))):
+                if n is None:
                     out.append(None)
                     continue
-                ids = np.frombuffer(packed, np.uint16)
+                ids = _unpacked(packed, n)
                 if gaps:
                     parts, last = [], 0
                     for gap, (_, more) in zip(gaps, sorted((p["nth"], p["ids"]) for p in put)):
@@ -156,15 +171,15 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, head_bytes: int = HEAD
                 out.append(ids.astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("version"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "version", "ids"])
 
-    words = _words(docs)
-    placed = words.mapInArrow(place, "doc_id long, version long, packed binary, gaps array<int>")
-    nothing = F.array().cast("array<struct<nth:int,ids:array<int>>>")
+    placed = _words(docs).mapInArrow(place, "key long, doc_id long, version long, n_ids int, packed binary, gaps array<int>, rare array<string>")
     if whole:
-        joined = placed.withColumn("put", nothing)
+        joined = placed.withColumn("put", F.array().cast("array<struct<nth:int,ids:array<int>>>"))
     else:
-        tail = words.mapInArrow(rare, "doc_id long, version long, nth int, word string").join(table.select("word", "ids"), "word")
-        put = tail.groupBy("doc_id", "version").agg(F.array_distinct(F.collect_list(F.struct("nth", "ids"))).alias("put"))
-        joined = placed.join(put, ["doc_id", "version"], "left")
+        placed = placed.repartition("key")  # one shuffle, read for the rare words and again for the join
+        tail = placed.mapInArrow(spread, "key long, nth int, word string").join(table.select("word", "ids"), "word")
+        put = tail.groupBy("key").agg(F.array_distinct(F.collect_list(F.struct("nth", "ids"))).alias("put"))
+        joined = placed.join(put, "key", "left")
+    # fill doesn't use all columns, but with any of them left out the plan would no longer have one shuffle for both uses.
     return joined.mapInArrow(fill, "doc_id long, version long, ids array<int>")
 
 

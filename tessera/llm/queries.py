@@ -10,6 +10,7 @@ from tessera.llm.licenses import licenses
 from tessera.llm.minhash import near_groups
 from tessera.llm.repetition import repetition
 from tessera.llm.suffixes import repeated_passages
+from tessera.llm.urls import url_filter, url_filter_sql
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(_table(spark, folder, "documents"))
 
 
+def op4_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter(_table(spark, folder, "pages"), _table(spark, folder, "labels"))
+
+
 def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses(_table(spark, folder, "documents"))
 
@@ -41,6 +46,6 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encode_and_check(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_repetition, op6_licenses, op8_language, op9_repeated_passages, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_repetition, op4_urls, op6_licenses, op8_language, op9_repeated_passages, op10_bpe)}
 #: DuckDB's SQL for the same rows, where SQL can say it.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_urls": url_filter_sql()}

@@ -52,7 +52,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column, and where each row begins (one more entry at the end); a null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    column = pc.fill_null(column.cast(pa.large_string()), "")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
