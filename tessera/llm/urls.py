@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import cut
+
 #: A path position with more distinct segments than this, each seen in fewer than RARE of the host's pages on average, is a wildcard.
 MANY, RARE = 8, 0.05
 #: Beta prior of the share of bad pages: so many pages at the share of the whole corpus.
@@ -77,6 +79,7 @@ def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     parts = F.when(size > depth, F.concat(F.slice("parts", 1, depth), F.array(F.lit("**")))).otherwise(F.col("parts"))
     paths = rows.withColumn("parts", parts)
     counted = paths.where("host is not null").groupBy("host", "parts").agg(F.count("*").alias("n"), F.count("bad").alias("known"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).withColumn("template", F.lit(""))
+    counted = cut(counted)  # each level reads the one before twice
     for level in range(1, depth + 2):
         has = F.size("parts") >= level
         child = F.when(has, F.element_at("parts", level))
@@ -91,7 +94,7 @@ def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
         rare = (F.col("k") > MANY) & (F.col("n") < RARE * F.col("all_n"))
         alike = (F.col("k") > 1) & (F.col("known") > 0) & (rest_known > 0) & (chi < CHI)
         merged = both.select("host", "template", "segment", F.when((rare | F.coalesce(alike, F.lit(False))) & (F.col("segment") != "**"), "*").otherwise(F.col("segment")).alias("name"))
-        counted = counted.withColumn("segment", child).join(merged, ["host", "template", "segment"], "left").withColumn("template", F.when(has, F.concat("template", F.lit("/"), "name")).otherwise(F.col("template"))).select("host", "parts", "n", "known", "bad", "template")
+        counted = cut(counted.withColumn("segment", child).join(merged, ["host", "template", "segment"], "left").withColumn("template", F.when(has, F.concat("template", F.lit("/"), "name")).otherwise(F.col("template"))).select("host", "parts", "n", "known", "bad", "template"))
     return paths.join(counted.select("host", "parts", F.when(F.col("template") == "", "/").otherwise(F.col("template")).alias("template")), ["host", "parts"], "left").select("page_id", "host", "template", "bad")
 
 
