@@ -8,6 +8,7 @@ from tessera.llm.bpe import encode_and_check
 from tessera.llm.language import fit, identify
 from tessera.llm.licenses import licenses
 from tessera.llm.minhash import near_groups
+from tessera.llm import pii
 from tessera.llm.repetition import repetition
 from tessera.llm.suffixes import repeated_passages
 from tessera.llm.urls import url_filter, url_filter_sql
@@ -33,6 +34,11 @@ def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses(_table(spark, folder, "documents"))
 
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return identify(docs, fit(docs))
@@ -46,6 +52,6 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encode_and_check(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_repetition, op4_urls, op6_licenses, op8_language, op9_repeated_passages, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_repetition, op4_urls, op6_licenses, op7_pii, op8_language, op9_repeated_passages, op10_bpe)}
 #: DuckDB's SQL for the same rows, where SQL can say it.
 ORACLE_SQL: dict[str, str] = {"op4_urls": url_filter_sql()}
