@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import pii
 from tessera.llm.bpe import encode_and_check
 from tessera.llm.language import fit, identify
+from tessera.llm.leaks import leaks
 from tessera.llm.licenses import licenses
 from tessera.llm.minhash import near_groups
-from tessera.llm import pii
 from tessera.llm.repetition import repetition
 from tessera.llm.suffixes import repeated_passages
 from tessera.llm.urls import url_filter, url_filter_sql
@@ -30,6 +31,10 @@ def op4_urls(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter(_table(spark, folder, "pages"), _table(spark, folder, "labels"))
 
 
+def op5_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses(_table(spark, folder, "documents"))
 
@@ -52,6 +57,6 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encode_and_check(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_repetition, op4_urls, op6_licenses, op7_pii, op8_language, op9_repeated_passages, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_repetition, op4_urls, op5_leaks, op6_licenses, op7_pii, op8_language, op9_repeated_passages, op10_bpe)}
 #: DuckDB's SQL for the same rows, where SQL can say it.
 ORACLE_SQL: dict[str, str] = {"op4_urls": url_filter_sql()}

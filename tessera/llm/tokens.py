@@ -21,10 +21,19 @@ _WORD[48:58] = _WORD[97:123] = True
 _WORD[128:] = True
 
 
+_known: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=U64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=U64)
+    """The first ``n`` powers; those of up to two million are kept."""
+    if n > len(_known.get(base, ())):
+        out = np.full(n, base, dtype=U64)
+        out[:1] = 1
+        np.cumprod(out, dtype=U64, out=out)
+        if n > 1 << 21:
+            return out
+        _known[base] = out
+    return _known[base][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
