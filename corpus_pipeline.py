@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm import pii
+from tessera.llm.bpe import encode
+from tessera.llm.leaks import drop_leaks
 from tessera.llm.minhash import keep_one
 from tessera.llm.repetition import keep_clean
 from tessera.llm.shared import Written
@@ -19,7 +23,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return keep_one(docs)
 
 
-STAGES = [("quality rules", quality), ("near duplicates", near_duplicates)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents that hold a benchmark item go."""
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: personal data are replaced by their kind; ``n_chars`` follows the text."""
+    return pii.redact(docs, pii.fit(docs)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: the ids of each document, with their number."""
+    return encode(docs).select("doc_id", F.size("ids").alias("n_tokens"), "ids")
+
+
+STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("benchmark decontamination", decontamination), ("personal data", personal_data), ("byte-pair encoding", tokens)]
 ORACLE_SQL = None
 
 

@@ -11,6 +11,7 @@ from tessera.llm.leaks import leaks
 from tessera.llm.licenses import licenses
 from tessera.llm.minhash import near_groups
 from tessera.llm.repetition import repetition
+from tessera.llm.site import main_text
 from tessera.llm.suffixes import repeated_passages
 from tessera.llm.urls import url_filter, url_filter_sql
 
@@ -27,6 +28,10 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(_table(spark, folder, "documents"))
 
 
+def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(_table(spark, folder, "pages"))
+
+
 def op4_urls(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter(_table(spark, folder, "pages"), _table(spark, folder, "labels"))
 
@@ -57,6 +62,6 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encode_and_check(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_repetition, op4_urls, op5_leaks, op6_licenses, op7_pii, op8_language, op9_repeated_passages, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_repetition, op3_main_text, op4_urls, op5_leaks, op6_licenses, op7_pii, op8_language, op9_repeated_passages, op10_bpe)}
 #: DuckDB's SQL for the same rows, where SQL can say it.
 ORACLE_SQL: dict[str, str] = {"op4_urls": url_filter_sql()}
