@@ -18,13 +18,13 @@ def apply(old: DataFrame, events: DataFrame) -> DataFrame:
     ``data`` is a map. Events of one id merge in order, later keys over earlier ones, from the last deletion on; a
     deletion that comes last removes the document.
     """
-    parts = F.sort_array(F.collect_list(F.struct("ts", "event_id", "kind", "data")))
+    parts = F.sort_array(F.collect_list(F.struct("ts", "event_id", "kind", F.map_entries("data").alias("entries"))))
     each = events.groupBy(F.col("id").alias("_id")).agg(parts.alias("list"))
     cut = F.coalesce(F.array_max(F.transform("list", lambda x, i: F.when(x["kind"] == "delete", i + 1))), F.lit(0))
     live = F.slice("list", cut + 1, F.size("list"))
     empty = F.create_map().cast("map<string,string>")
     merge = lambda acc, m: F.map_concat(F.map_filter(acc, lambda k, _: ~F.array_contains(F.map_keys(m), k)), m)
-    made = each.select("_id", cut.alias("_cut"), F.aggregate(live, empty, lambda acc, x: merge(acc, F.coalesce(x["data"], empty))).alias("_data"), (F.size(live) > 0).alias("_live"), F.exists(live, lambda x: x["kind"].isin(*REINDEX)).alias("_re"))
+    made = each.select("_id", cut.alias("_cut"), F.aggregate(live, empty, lambda acc, x: merge(acc, F.coalesce(F.map_from_entries(x["entries"]), empty))).alias("_data"), (F.size(live) > 0).alias("_live"), F.exists(live, lambda x: x["kind"].isin(*REINDEX)).alias("_re"))
     both = old.join(made, old["id"] == made["_id"], "full")
     base = F.when(F.coalesce("_cut", F.lit(0)) == 0, F.coalesce("data", empty)).otherwise(empty)
     kept = both.where(F.col("_id").isNull() | F.col("_live"))
