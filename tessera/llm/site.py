@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import documents
+from tessera.llm.shared import cut, documents
 from tessera.llm.tokens import U64, Words, mix, slices
 
 GAMMA = 0.9
@@ -36,6 +36,8 @@ FACTOR = 1.6
 PARTS = 16
 #: Hosts with fewer pages than this have no template to learn; their pages lose only what is never content.
 PAGES = 4
+#: Bytes of all hosts' trees up to which they are sent to every executor.
+SENT = 8 << 20
 #: Elements that are never content, and that have no end tag.
 DEAD = frozenset("script style noscript template iframe svg canvas object head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -387,5 +389,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     documents(pages.withColumn("doc_id", F.lit(1)), "doc_id")  # sets the size of batches
     host = F.nullif(F.lower(F.regexp_extract("url", _HOST, 1)), F.lit(""))
     rows = pages.select("page_id", host.alias("host"), "html")
-    table = low_nodes(rows.where("host is not null").select("host", "html"))
+    table = cut(low_nodes(rows.where("host is not null").select("host", "html")))
+    size = table.agg(F.sum(F.octet_length("host") + 8 * F.size("drop") + 32)).first()[0] or 0
+    if size <= SENT:  # else pages and trees meet by host, where Spark parts the hosts of many pages
+        table = F.broadcast(table)
     return rows.join(table, "host", "left").mapInArrow(_extract, "page_id long, host string, text string")
