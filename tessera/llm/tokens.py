@@ -26,7 +26,7 @@ _known: dict[int, np.ndarray] = {}
 
 def _powers(base: int, n: int) -> np.ndarray:
     """The first ``n`` powers; those of up to two million are kept."""
-    if n > len(_known.get(base, ())):
+    if base not in _known or n > len(_known[base]):
         out = np.full(n, base, dtype=U64)
         out[:1] = 1
         np.cumprod(out, dtype=U64, out=out)

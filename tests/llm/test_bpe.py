@@ -15,13 +15,13 @@ def texts():
     return out + ["".join(rng.choice(SIGNS) for _ in range(rng.randint(0, 400))) for _ in range(60)]
 
 
-@pytest.mark.parametrize("head_bytes", [0, 200, 1 << 20])
-def test_as_the_tokenizer_itself(spark, head_bytes):
+@pytest.mark.parametrize("head_bytes, filter_words", [(0, 1), (200, 1 << 21), (1 << 20, 1 << 21)])
+def test_as_the_tokenizer_itself(spark, head_bytes, filter_words):
     own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks(VOCABULARY), special_tokens={})
     rows = [(i, t, "clash", 1) for i, t in enumerate(texts())]
     rows += [(None, "left out", "", 0), rows[4], (4, "another text", "", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, word string, ids int").repartition(3)
-    got = decode(encode(df, head_bytes=head_bytes)).collect()
+    got = decode(encode(df, head_bytes=head_bytes, filter_words=filter_words)).collect()
     want = sorted(((i, t) for i, t, *_ in rows if i is not None), key=str)
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == want
     for r in got:
