@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -38,15 +40,21 @@ def release(spark: SparkSession) -> None:
 
 
 class Written:
-    """A table written as Parquet to the shared folder; ``drop()`` deletes it."""
+    """A table written as Parquet to the shared folder; ``drop()`` deletes it, as the end of the driver does."""
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/tessera-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.parquet(self.path)
+        atexit.register(self._drop_at_exit)
+
+    def _drop_at_exit(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            self.drop()
 
     def drop(self) -> None:
+        atexit.unregister(self._drop_at_exit)
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
