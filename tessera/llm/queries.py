@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import pii
 from tessera.llm.bpe import encode_and_check
@@ -12,8 +13,9 @@ from tessera.llm.licenses import licenses
 from tessera.llm.minhash import near_groups
 from tessera.llm.repetition import repetition
 from tessera.llm.site import main_text
+from tessera.llm.sql import ORACLE_SQL  # noqa: F401
 from tessera.llm.suffixes import repeated_passages
-from tessera.llm.urls import url_filter, url_filter_sql
+from tessera.llm.urls import url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,7 +57,8 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
-    return repeated_passages(_table(spark, folder, "documents"))
+    spans = repeated_passages(_table(spark, folder, "documents"))
+    return spans.select("doc_id", F.explode("spans").alias("span")).select("doc_id", "span.start", "span.end")
 
 
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,5 +66,3 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_repetition, op3_main_text, op4_urls, op5_leaks, op6_licenses, op7_pii, op8_language, op9_repeated_passages, op10_bpe)}
-#: DuckDB's SQL for the same rows, where SQL can say it.
-ORACLE_SQL: dict[str, str] = {"op4_urls": url_filter_sql()}
