@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import predicates as P
 from tessera.functions import text as X
 from tessera.functions.vector import cosine
-from tessera.operators import dedup, facets, metrics, pricing, resolve, search
+from tessera.operators import dedup, enrich, facets, metrics, pricing, resolve, search, shop
 from tessera.plans.model import Field, collection
 from tessera.sources import tables
 from tessera.streaming import changes
@@ -601,3 +601,28 @@ def price_formula(spark, folder):
 @query("SELECT user_id, count(*) AS sessions, sum(n) AS n FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY 1, 2) GROUP BY 1")
 def event_sessions(spark, folder):
     return changes.sessions(t(spark, folder, "events")).groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
+
+
+# Shop and review
+
+
+@query("SELECT p_partkey, round(CASE WHEN p_brand = 'Brand#3' THEN -2.0 ELSE 0 END + CASE WHEN p_brand = 'Brand#2' THEN 1.0 ELSE 0 END + CASE WHEN p_partkey % 5 = 0 THEN -0.35 ELSE 0 END + CASE WHEN p_retailprice BETWEEN 900 AND 1000 THEN 0.3 ELSE -0.3 END + CASE WHEN p_type = 'PROMO' THEN -1.0 ELSE 0 END + CASE WHEN list_contains(string_split(p_name, ' '), 'red') THEN 0.4 ELSE 0 END, 6) AS taste FROM part")
+def personal_taste(spark, folder):
+    score = shop.taste(F.col("p_brand"), F.col("p_retailprice"), F.split("p_name", " "), F.lit(None).cast("string"), F.col("p_type"), F.col("p_partkey") % 5 == 0, blocked=["brand#3"], preferred=["Brand#2"], band=(900, 1000), avoided=["promo"], affinity={"red": 0.4, "blue": -0.2})
+    return t(spark, folder, "part").select("p_partkey", F.round(score, 6).alias("taste"))
+
+
+@query(
+    "WITH s AS (SELECT c_custkey, (c_nationkey % 2)::DOUBLE AS phone, least(greatest(c_acctbal / 10000, 0), 1) AS cos FROM customer), x AS (SELECT *, 1 - (1 - phone) * (1 - 0.6 * cos) AS combined FROM s)"
+    " SELECT c_custkey, round(combined, 6) AS combined, CASE WHEN greatest(combined - 0.6 * cos, combined - phone) > 0 THEN CASE WHEN combined - phone > combined - 0.6 * cos THEN 'cosine' ELSE 'phone' END END AS decisive FROM x"
+)
+def match_explain(spark, folder):
+    rows = t(spark, folder, "customer").select("c_custkey", (F.col("c_nationkey") % 2).cast("double").alias("phone"), F.least(F.greatest(F.col("c_acctbal") / 10000, F.lit(0.0)), F.lit(1.0)).alias("cos"))
+    out = shop.decisive(rows, {"phone": F.col("phone"), "cosine": F.col("cos")}, resolve.noisy_or, {"phone": 1.0, "cosine": 0.6})
+    return out.select("c_custkey", F.round("combined", 6).alias("combined"), "decisive")
+
+
+@query("SELECT event_id AS id, (value / 100)::DOUBLE AS confidence FROM events WHERE value < 60 ORDER BY value / 100, event_id LIMIT 100")
+def review_queue(spark, folder):
+    rows = t(spark, folder, "events").select(F.col("event_id").alias("id"), F.to_json(F.struct((F.col("value") / 100).alias("confidence"))).alias("enriched"))
+    return enrich.review(rows).select("id", "confidence")
