@@ -26,7 +26,7 @@ SAMPLE = 300
 #: Characters of a window, and how many two windows share: more than the longest value.
 WINDOW, SHARED = 384, 80
 #: Training: steps, windows in a step, their characters, and the hidden units of each direction.
-STEPS, BATCH, LENGTH, HIDDEN = 500, 48, 112, 8
+STEPS, BATCH, LENGTH, HIDDEN = 750, 48, 112, 8
 #: Windows decoded at a time.
 LOT = 768
 #: Characters of the shortest span, and digits that a value must have; an email address must have an ``@``.
@@ -54,13 +54,15 @@ def value(kind: str, rng: random.Random) -> str:
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     w = lambda a=2, b=9: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(a, b)))
     if kind == "email":
+        if rng.random() < 0.3:  # names with letters outside ASCII
+            w = lambda a=2, b=9: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéèêçàñóíüöäß") for _ in range(rng.randint(a, b)))
         name = rng.choice([f"{w()}.{d(rng.randint(1, 2))}", f"{w()}.{w()}", f"{w()}_{w()}", w(3, 12), f"{w()}{d(rng.randint(1, 4))}", f"{w()}+{w(2, 5)}", f"{w().capitalize()}.{w().capitalize()}"])
         return f"{name}@{rng.choice([f'mail{d(1)}.example.com', f'{w()}.{rng.choice(['com', 'org', 'net', 'de', 'fr', 'es', 'io'])}', f'{w()}.{w()}.{rng.choice(['com', 'org', 'co.uk'])}', f'{w()}-{w()}.com'])}"
     if kind == "phone":
         a, b, c = d(3), d(3), d(4)
         return rng.choice([f"+1 ({a}) {b}-{c}"] * 3 + [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{rng.randint(1, 99)} {d(2)} {d(4)} {d(4)}", f"+{rng.randint(1, 99)}-{a}-{b}-{c}", f"+1{a}{b}{c}", f"+49 {d(3)} {d(7)}", f"+33 {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}"])
     if kind == "ip":
-        return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+        return ".".join(str(rng.randint(0, rng.choice([9, 99, 255, 255]))) for _ in range(4))
     if kind == "card":
         p = [d(4) for _ in range(4)]
         return rng.choice(["".join(p)] * 3 + [" ".join(p), "-".join(p), d(15)])
@@ -97,6 +99,8 @@ def example(line: str, rng: random.Random) -> tuple[bytes, np.ndarray]:
         elif rng.random() < 0.07:
             parts.append((harmless(rng) + " ", 0))
         parts.append((word + (noise if noise and rng.random() < 0.8 else "") + " ", 0))
+    if rng.random() < 0.12:
+        parts = [(p.upper(), t) for p, t in parts]
     raw = [p.encode() for p, _ in parts]
     tags = np.repeat([t for _, t in parts], [len(r) for r in raw])
     whole = b"".join(raw)
@@ -179,7 +183,8 @@ def spans_of(model: Tagger, column: pa.Array) -> list[list[tuple[int, int, str]]
                 s += 1
             while e > s and not _PART[raw[e - 1]]:
                 e -= 1
-            while s and _PART[raw[s - 1]] and s < e:  # to the edges of the words at either end
+            joint = b"._+-" if KINDS[kind - 1] == "email" else b""
+            while s and s < e and (_PART[raw[s - 1]] or raw[s - 1] in joint):  # to the edges of the words at either end
                 s -= 1
             while e < len(raw) and _PART[raw[e]] and s < e:
                 e += 1
