@@ -70,11 +70,9 @@ def accuracy(rows: DataFrame, attributes: dict[str, tuple[Column, Column]]) -> D
 def lower_percentile(rows: DataFrame, value: Column, percent: int) -> DataFrame:
     """``n, value``: the entry at ``floor((n - 1) p / 100)`` in order (AG26)."""
     x = rows.select(value.alias("x")).where("x is not null")
-    nth = F.row_number().over(Window.orderBy("x"))
     # Ranks come from counts of distinct values, so that one task sees values and not rows.
     c = x.groupBy("x").agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.orderBy("x"))
     all_ = F.sum("c").over(Window.partitionBy())
     at = c.select("x", upto.alias("upto"), all_.alias("n"), (F.floor((all_ - 1) * percent / 100) + 1).alias("at"))
-    del nth
     return at.where("upto >= at").groupBy("n").agg(F.min("x").alias("value"))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import predicates as P
 from tessera.functions import text as X
-from tessera.functions.vector import cosine
 from tessera.operators import dedup, enrich, facets, metrics, pricing, resolve, search, shop
 from tessera.plans.model import Field, collection
 from tessera.sources import tables
