@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.shared import documents
-from tessera.llm.suffixes import sliding_least
 from tessera.llm.tokens import U64, Words, mix, ngrams, slices
 
 SHINGLE = 2

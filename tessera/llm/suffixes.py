@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import documents
-from tessera.llm.tokens import _BASE, _INVERSE, U64, Words, _powers, longs, mix, ngrams, ragged, slices
+from tessera.llm.tokens import _BASE, _INVERSE, U64, Words, _powers, longs, mix, ngrams, slices
 
 #: Words of the shortest passage that counts.
 PASSAGE = 50

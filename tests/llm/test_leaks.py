@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
 
 from tessera.llm.leaks import BLOCK, RANK, TERMS, _block_sums, _blocks, _weighted, common_subsequence, directions, drop_leaks, frequencies, leaks, weights
 from tessera.llm.tokens import Words
