@@ -14,9 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm.shared import documents
+from tessera.llm.shared import sample as labelled
 from tessera.llm.tokens import _BASE, _INVERSE, U64, _powers, flat, folded, mix, slices
 
 #: Labelled rows that a model is fitted on, those whose ids have the smallest hashes; one in five is held out.
@@ -175,8 +175,7 @@ def train(rows: list[tuple[str, str]], seed: int = 0) -> Model:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """:func:`train` on at most ``sample`` rows with text and ``lang``, those whose ids have the smallest hashes."""
-    rows = documents(docs, "doc_id", "text", "lang").where("text <> '' and lang <> ''").orderBy(F.xxhash64("doc_id"), "doc_id", "text", "lang").limit(sample)
-    return train([(r.text, r.lang) for r in rows.select("text", "lang").collect()])
+    return train([(r.text, r.lang) for r in labelled(docs, sample, "text", "lang")])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

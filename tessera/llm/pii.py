@@ -14,9 +14,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm.shared import documents
+from tessera.llm.shared import sample as texts
 from tessera.llm.tagger import Tagger
 from tessera.llm.tokens import flat, slices
 
@@ -205,8 +205,7 @@ def spans_of(model: Tagger, column: pa.Array) -> list[list[tuple[int, int, str]]
 
 def fit(docs: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> Tagger:
     """:func:`train` on the lines of at most ``sample`` texts, those whose ids have the smallest hashes."""
-    rows = documents(docs, "doc_id", "text").where("text <> ''").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
-    return train([line for r in rows for line in r.text.split("\n") if line.strip()], steps)
+    return train([line for r in texts(docs, sample, "text") for line in r.text.split("\n") if line.strip()], steps)
 
 
 def _letters(raw: bytes, spans: list[tuple[int, int, str]]) -> list[dict]:

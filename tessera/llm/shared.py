@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -69,3 +70,15 @@ def documents(docs: DataFrame, *columns: str) -> DataFrame:
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.where(docs["doc_id"].isNotNull()).select(*[docs[c] for c in columns])
+
+
+def sample(docs: DataFrame, most: int, *columns: str) -> list:
+    """``columns`` of at most ``most`` documents in which none is null or empty, those whose ids have the smallest hashes.
+
+    Ids are chosen first, from their column alone: texts of many tasks' candidates would be too much for the driver.
+    An id that repeats counts once, with the values that sort first.
+    """
+    rows = documents(docs, "doc_id", *columns)
+    ids = [r.doc_id for r in rows.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(most).collect()]
+    found = rows.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("v"))
+    return [r.v for r in found.orderBy(F.xxhash64("doc_id"), "doc_id").collect() if all(r.v)]
