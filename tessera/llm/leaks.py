@@ -6,7 +6,9 @@
    A'(A O) over its own passages; from the sum Y over all tasks, the Nystroem form Y (O'Y)^-1 Y' of A'A gives the
    singular vectors (Halko, Martinsson and Tropp). What is summed has a size set by TERMS and RANK, not by the corpus.
 3. Every benchmark item is a query: all passages whose cosine to it in the latent space is ``NEAR`` or more, in any of
-   the item's own windows, are candidates.
+   the item's own windows, are candidates. A short item's words are drowned by those around it in a passage, so places
+   are searched by words as well: what step 4 accepts holds some of the item's rarest words close together, whatever
+   the item's length, so that no place which it accepts is missed.
 4. Candidates are verified on the words: the longest common subsequence of the item and the text around the passage
    must cover ``COVERED`` of the item, or ``LOOSE`` if the item's answer, its rarest words, is there as well.
 """
@@ -32,6 +34,8 @@ NEAR = 0.5
 COVERED, LOOSE = 0.7, 0.5
 #: The answer: the share of an item's words, its rarest, and how much of them a text must hold.
 ANSWER, ANSWERED = 0.3, 0.8
+#: The share of an item's words that a place must hold among its rarest ones to be looked at: more are read, fewer places remain.
+SEEN = 0.2
 #: Terms in more than this share of passages weigh nothing.
 COMMON = 0.01
 
@@ -195,7 +199,7 @@ def common_subsequence(a: list, b: list) -> int:
 class Items:
     """Benchmark items as latent queries, with what verification needs."""
 
-    def __init__(self, rows: list[tuple[int, str]], idf: np.ndarray, v: np.ndarray):
+    def __init__(self, rows: list[tuple[int, str]], idf: np.ndarray, v: np.ndarray, df: np.ndarray):
         self.ids = [i for i, _ in rows]
         w = Words(pa.array([t for _, t in rows], pa.string()))
         self.words = [w.hash[a:b].tolist() for a, b in zip(w.first, w.first[1:])]
@@ -217,6 +221,50 @@ class Items:
         q = np.array(vectors, np.float32).reshape(len(owner), v.shape[1])
         self.query = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
         self.longest = max(map(len, self.words), default=0)
+        # Of an item's rarest words, so many that a text which covers COVERED of the item, and so lacks at most the rest,
+        # holds `need` of them; the answer is among them, and LOOSE asks for ANSWERED of it.
+        keys, owner, self.need = [], [], np.ones(len(self.words), np.int64)
+        self.span = np.array([int(1.5 * len(words)) + 1 for words in self.words], np.int64)
+        for k, words in enumerate(self.words):
+            n, held = len(words), 0
+            need = max(1, int(SEEN * n))
+            lacking = n - int(np.ceil(COVERED * n - 1e-9))
+            for h in sorted(self.answers[k], key=lambda h: (df[h >> 50], h)) + sorted(self.counts[k].keys() - self.answers[k], key=lambda h: (df[h >> 50], h)):
+                if held >= lacking + need and h not in self.answers[k]:
+                    break
+                keys.append(h)
+                owner.append(k)
+                held += self.counts[k][h]
+            self.need[k] = max(1, min(need, int(np.ceil(ANSWERED * len(self.answers[k]) - 1e-9))))
+        keys, owner = np.array(keys, U64), np.array(owner, np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.key, first = np.unique(keys[order], return_index=True)
+        self.key_first, self.key_owner = np.append(first, len(keys)), owner[order]
+        self.likely = np.zeros(1 << 16, bool)
+        self.likely[(self.key >> U64(48)).astype(np.int64)] = True
+
+
+def _places(w: Words, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, item, first word, last word)`` of each place with enough of an item's rarest words in its span."""
+    at = np.flatnonzero(items.likely[(w.hash >> U64(48)).astype(np.int64)])
+    key = np.minimum(np.searchsorted(items.key, w.hash[at]), len(items.key) - 1)
+    same = items.key[key] == w.hash[at]
+    at, key = at[same], key[same]
+    times = items.key_first[key + 1] - items.key_first[key]
+    ends = np.cumsum(times)
+    item = items.key_owner[np.repeat(items.key_first[key] - ends + times, times) + np.arange(ends[-1] if len(ends) else 0)]
+    order = np.argsort(item.astype(np.uint16) if len(items.words) < 1 << 16 else item, kind="stable")
+    at, item = np.repeat(at, times)[order], item[order]
+    here = np.arange(len(at))
+    there = here + items.need[item] - 1
+    last = np.minimum(there, len(at) - 1)
+    row = w.row[at]
+    good = np.flatnonzero((there < len(at)) & (item[last] == item) & (row[last] == row) & (at[last] - at < items.span[item]))
+    at, to, item, row = at[good], at[last[good]], item[good], row[good]
+    # Those that begin within the same span of words are one place.
+    part = at // items.span[item]
+    new = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (part[1:] != part[:-1]))) if len(at) else at
+    return row[new], item[new], at[new], np.maximum.reduceat(to, new) if len(at) else to
 
 
 def _found(w: Words, items: Items, table: np.ndarray) -> list[tuple[int, int, float, int, int]]:
@@ -233,6 +281,37 @@ def _found(w: Words, items: Items, table: np.ndarray) -> list[tuple[int, int, fl
     at = np.flatnonzero(use)
     two = two[at] / np.maximum(np.linalg.norm(two[at], axis=1, keepdims=True), 1e-9)
     best: dict[tuple[int, int], tuple] = {}
+
+    def verify(r: int, k: int, lo: int, hi: int) -> None:
+        words = items.words[k]
+        n = len(words)
+        text = w.hash[lo:hi].tolist()
+        mine = items.counts[k]
+        # No common subsequence is longer than the item's words that are here at all.
+        if sum(mine[x] for x in mine.keys() & set(text)) < LOOSE * n:
+            return
+        hits = [i for i, x in enumerate(text) if x in mine]
+        # All stretches of 1.5 times the item's length that begin with one of its words and hold enough of them.
+        ends = np.searchsorted(hits, np.array(hits) + int(items.span[k])).tolist()
+        held: Counter = Counter()
+        shared = end = 0
+        for i, stop in enumerate(ends):
+            for j in range(end, stop):
+                x = text[hits[j]]
+                held[x] += 1
+                shared += held[x] <= mine[x]
+            # A stretch that ends where the one before does is part of it.
+            if shared >= LOOSE * n and stop > end:
+                part = text[hits[i] : hits[stop - 1] + 1]
+                covered = common_subsequence(words, part) / n
+                answered = len(items.answers[k] & set(part)) >= ANSWERED * len(items.answers[k])
+                if (covered >= COVERED or (covered >= LOOSE and answered)) and covered > best.get((r, k), (0, 0, 0.0))[2]:
+                    best[(r, k)] = (r, k, covered, lo + hits[i], lo + hits[stop - 1] + 1)
+            end = stop
+            x = text[hits[i]]
+            shared -= held[x] <= mine[x]
+            held[x] -= 1
+
     seen: set[tuple[int, int]] = set()
     for lot in range(0, len(at), 4096):
         p, q = np.nonzero(two[lot : lot + 4096] @ items.query.T >= NEAR)
@@ -240,26 +319,11 @@ def _found(w: Words, items: Items, table: np.ndarray) -> list[tuple[int, int, fl
             if (b, k) in seen:
                 continue
             seen.add((b, k))
-            words = items.words[k]
-            r, n = int(row[b]), len(words)
-            lo = max(int(w.first[r]), int(first[b]) - n)
-            hi = min(int(w.first[r + 1]), int(first[b]) + 2 * BLOCK + n)
-            text = w.hash[lo:hi].tolist()
-            mine = items.counts[k]
-            # No common subsequence is longer than the item's words that are here at all.
-            if sum(mine[x] for x in mine.keys() & set(text)) < LOOSE * n:
-                continue
-            hits = [i for i, x in enumerate(text) if x in mine]
-            # The stretch of 1.5 times the item's length with the most words of the item.
-            span, ends = int(1.5 * n) + 1, np.searchsorted(hits, np.array(hits) + int(1.5 * n) + 1)
-            i = int((ends - np.arange(len(hits))).argmax())
-            part = text[hits[i] : hits[i] + span]
-            covered = common_subsequence(words, part) / n
-            answered = len(items.answers[k] & set(part)) >= ANSWERED * len(items.answers[k])
-            if covered >= COVERED or (covered >= LOOSE and answered):
-                got = (r, k, covered, lo + hits[i], lo + hits[int(ends[i]) - 1] + 1)
-                if covered > best.get((r, k), (0, 0, 0.0))[2]:
-                    best[(r, k)] = got
+            r, n = int(row[b]), len(items.words[k])
+            verify(r, k, max(int(w.first[r]), int(first[b]) - n), min(int(w.first[r + 1]), int(first[b]) + 2 * BLOCK + n))
+    for r, k, a, z in zip(*(x.tolist() for x in _places(w, items))):
+        span = int(items.span[k])
+        verify(r, k, max(int(w.first[r]), a - span), min(int(w.first[r + 1]), z + span))
     return sorted(best.values())
 
 
@@ -269,7 +333,7 @@ def _model(docs: DataFrame, benchmark: DataFrame):
     idf = weights(df, n)
     v = directions(texts, idf)
     rows = [(r.item_id, r.text) for r in benchmark.where("item_id is not null and text <> ''").select("item_id", "text").distinct().orderBy("item_id", "text").collect()]
-    items = Items(rows, idf, v)
+    items = Items(rows, idf, v, df)
     return docs.sparkSession.sparkContext.broadcast((items, _weighted(v, idf)))
 
 

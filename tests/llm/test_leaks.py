@@ -93,3 +93,25 @@ def test_block_sums():
 
 def test_weights():
     assert weights(np.array([1, 900]), 1000)[1] == 0 and RANK > 0
+
+
+def test_short_items_in_long_documents(spark):
+    rng, lexicon, prose = world(7)
+    own = lambda n: next(x for x in iter(lambda: prose(n), None) if 2 * sum(len(w) > 3 for w in x) > n)
+    items = [(k, " ".join(own((8, 10, 12, 15)[k % 4]))) for k in range(60)]
+    docs, want = [], set()
+    for i in range(240):
+        item = items[i % 60][1].split()
+        part = item if i < 120 else [rng.choice(lexicon) if rng.random() < 0.12 else w for w in item]
+        words = prose(rng.randint(60, 400))
+        at = rng.randint(0, len(words))
+        words[at:at] = part
+        docs.append((i, " ".join(words)))
+        if common_subsequence(item, part) >= 0.7 * len(item):
+            want.add((i, i % 60))
+    assert len(want) > 220
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in leaks(df, bench).collect()}
+    assert want <= found and len(found - want) <= 2
+    assert drop_leaks(df, bench).count() == len(docs) - len({i for i, _ in found})
