@@ -16,7 +16,7 @@ from tessera.llm.tokens import _BASE, _INVERSE, U64, Words, _powers, flat, mix,
 MOST = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: The largest share of characters that repeated lines may cover.
 MOST_LINES = 0.30
-#: Repeats of up to so many bytes in all are no fault: one line said twice would else condemn a short text.
+#: A single repeat of up to so many bytes is no fault: one line said twice would else condemn a short text.
 SLIGHT = 150
 _SCHEMA = "doc_id long, n_words int, line_share double, " + ", ".join(f"gram{n}_share double" for n in MOST) + ", keep boolean"
 
@@ -35,10 +35,15 @@ def line_shares(column: pa.Array) -> np.ndarray:
 
     Lines end at a line feed; blank ones (spaces only) don't count.
     """
+    return _lines(column)[0]
+
+
+def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The shares of :func:`line_shares`, and which rows have one line again, once, and no other."""
     data, offsets = flat(column)
     n, rows = len(data), len(offsets) - 1
     if not n:
-        return np.zeros(rows)
+        return np.zeros(rows), np.zeros(rows, bool)
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     cut[1:] |= data == 10
@@ -54,7 +59,8 @@ def line_shares(column: pa.Array) -> np.ndarray:
     row = np.searchsorted(offsets, start, side="right") - 1
     key = mix(mix((total[end] - total[start]) * _powers(_INVERSE, n + 1)[start]) + row.astype(U64))
     size = (end - start).astype(float)
-    return np.bincount(row, size * _again(key), rows) / np.maximum(np.bincount(row, size, rows), 1)
+    again = _again(key)
+    return np.bincount(row, size * again, rows) / np.maximum(np.bincount(row, size, rows), 1), np.bincount(row, again, rows) == 1
 
 
 def gram_shares(column: pa.Array, lengths: tuple[int, ...] = tuple(MOST)) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -63,10 +69,15 @@ def gram_shares(column: pa.Array, lengths: tuple[int, ...] = tuple(MOST)) -> tup
     Each byte counts once, however many repeated n-grams cover it. A longer n-gram repeats only where both
     n-grams one word shorter do, so each length looks only at what the length before left.
     """
+    return _grams(column, lengths)[:2]
+
+
+def _grams(column: pa.Array, lengths: tuple[int, ...] = tuple(MOST)) -> tuple[np.ndarray, dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """What :func:`gram_shares` gives, and for each n which rows have one run of words again, once, and no other."""
     w = Words(column)
     rows, row, size = len(w.offsets) - 1, w.row, (w.end - w.start).astype(float)
     whole = np.maximum(np.bincount(row, size, rows), 1)
-    out, live = {}, None
+    out, single, live = {}, {}, None
     for n in sorted(lengths):
         gram = ngrams(w.hash, n)
         at = np.arange(len(gram)) if live is None else live[live < len(gram)]
@@ -83,15 +94,22 @@ def gram_shares(column: pa.Array, lengths: tuple[int, ...] = tuple(MOST)) -> tup
         np.add.at(step, later + n, -1)
         inside = np.cumsum(step[:-1]) > 0
         out[n] = np.bincount(row, size * inside, rows) / whole
-    return np.diff(w.first), out
+        # One run has one beginning; what is said a third time has n-grams that equal two earlier ones.
+        later = np.sort(later)
+        begins = np.append(True, (np.diff(later) > 1) | (row[later[1:]] != row[later[:-1]])) if len(later) else np.zeros(0, bool)
+        third = np.append(False, same[1:] & same[:-1])[same] if len(same) else np.zeros(0, bool)
+        thrice = row[at[order[1:][same]][third]]
+        single[n] = (np.bincount(row[later], begins, rows) == 1) & (np.bincount(thrice, minlength=rows) == 0)
+    return np.diff(w.first), out, single
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "text"):
-        n_words, grams = gram_shares(b.column("text"))
-        lines = line_shares(b.column("text"))
+        n_words, grams, single = _grams(b.column("text"))
+        lines, once = _lines(b.column("text"))
         size = np.diff(flat(b.column("text"))[1])
-        fine = [(share <= most) | (share * size <= SLIGHT) for share, most in ((lines, MOST_LINES), *((grams[n], MOST[n]) for n in MOST))]
+        # What is said twice is half of a text at most.
+        fine = [(share <= most) | (one & (share * size <= SLIGHT) & (share <= 0.5)) for share, most, one in ((lines, MOST_LINES, once), *((grams[n], MOST[n], single[n]) for n in MOST))]
         keep = np.all(fine, axis=0) & (n_words > 0)
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), pa.array(n_words, pa.int32()), pa.array(lines), *(pa.array(grams[n]) for n in MOST), pa.array(keep)],
@@ -102,6 +120,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repetition(docs: DataFrame) -> DataFrame:
     """One row for each document, with its shares and whether all of them are within bounds.
 
+    A share above its bound is forgiven if it is of a single repeat: one line, or one run of words, said twice, of up to
+    ``SLIGHT`` bytes and half of the text.
+
     A null or empty text, or one without a word, has no share and isn't kept. Rows with a null id are left out;
     repeated rows give repeated results; other columns don't matter. Nothing is shuffled.
     """

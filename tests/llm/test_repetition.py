@@ -61,3 +61,20 @@ def test_operator(spark):
         assert r.keep == (fine and r.n_words > 0)
     assert sorted(map(tuple, keep_clean(df).collect())) == [(1, clean, "x"), (1, clean, "y"), (2, rows[1][1], "x")]
     assert keep_clean(df.limit(0)).collect() == [] and repetition(df.limit(0)).collect() == []
+
+
+def test_only_a_single_short_repeat_is_forgiven(spark):
+    line = "We close at noon on all of the bank holidays"
+    rest = " ".join(f"w{i}" for i in range(20))
+    rows = [
+        (1, "\n".join(["SHOU.!! THE.!!"] * 5), False),  # only repetition
+        (2, "\n".join(["BE!! SCUM!! SCUM!! TION!! A.!!"] * 5), False),
+        (3, "\n".join([line, rest, line]), True),  # one line said twice
+        (4, "\n".join([line, line, rest, line]), False),  # and three times
+        (5, "one two three four five. " * 3 + rest, False),
+        (6, "\n".join(["a first line", "the second", "a first line", "the second"]), False),  # two lines
+        (7, "one two three four five a b six seven eight nine ten c d one two three four five e f six seven eight nine ten", False),  # two runs
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.keep for r in repetition(df).collect()} == {i: keep for i, _, keep in rows}
+    assert {r.doc_id for r in keep_clean(df).collect()} == {3}
