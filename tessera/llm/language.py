@@ -19,7 +19,7 @@ from tessera.llm.shared import documents
 from tessera.llm.shared import sample as labelled
 from tessera.llm.tokens import _BASE, _INVERSE, U64, _powers, flat, folded, mix, slices
 
-#: Labelled rows that a model is fitted on, those whose ids have the smallest hashes; one in five is held out.
+#: Labelled rows that a model is fitted on, of each language those whose ids have the smallest hashes; one in five is held out.
 SAMPLE = 1500
 #: Bytes of the subwords, rows of the embedding table, and its width.
 GRAMS = (1, 2, 3, 4)
@@ -174,8 +174,8 @@ def train(rows: list[tuple[str, str]], seed: int = 0) -> Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """:func:`train` on at most ``sample`` rows with text and ``lang``, those whose ids have the smallest hashes."""
-    return train([(r.text, r.lang) for r in labelled(docs, sample, "text", "lang")])
+    """:func:`train` on at most ``sample`` rows with text and ``lang``, of each language those whose ids have the smallest hashes."""
+    return train([(r.text, r.lang) for r in labelled(docs, sample, "text", "lang", by="lang")])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

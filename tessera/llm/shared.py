@@ -8,7 +8,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -72,13 +72,24 @@ def documents(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.where(docs["doc_id"].isNotNull()).select(*[docs[c] for c in columns])
 
 
-def sample(docs: DataFrame, most: int, *columns: str) -> list:
+def sample(docs: DataFrame, most: int, *columns: str, by: str | None = None) -> list:
     """``columns`` of at most ``most`` documents in which none is null or empty, those whose ids have the smallest hashes.
 
-    Ids are chosen first, from their column alone: texts of many tasks' candidates would be too much for the driver.
-    An id that repeats counts once, with the values that sort first.
+    With ``by``, one of the columns, its values take turns until there are ``most``, so that rare ones are there too.
+    Ids are chosen first, without texts: those of many tasks' candidates would be too much for the driver.
+    An id that repeats counts once, with the values that sort first, ``by`` before the others.
     """
     rows = documents(docs, "doc_id", *columns)
-    ids = [r.doc_id for r in rows.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(most).collect()]
-    found = rows.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("v"))
-    return [r.v for r in found.orderBy(F.xxhash64("doc_id"), "doc_id").collect() if all(r.v)]
+    for c in columns:
+        rows = rows.where(F.col(c) != "")
+    h = F.xxhash64("doc_id").alias("h")
+    if by:
+        each = rows.groupBy("doc_id").agg(F.min(by).alias("by")).select("doc_id", h, "by")
+        turn = F.row_number().over(Window.partitionBy("by").orderBy("h", "doc_id"))
+        chosen = each.withColumn("turn", turn).where(F.col("turn") <= most).orderBy("turn", "h", "doc_id").select("doc_id")
+    else:
+        chosen = rows.select("doc_id", h).distinct().orderBy("h", "doc_id").select("doc_id")
+    ids = [r.doc_id for r in chosen.limit(most).collect()]
+    first = F.min(F.struct(*([by] if by else []), F.struct(*columns).alias("v")))
+    found = rows.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(first.alias("first"))
+    return [r.first.v for r in found.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from tessera.llm.language import features, fit, identify, pieces, train
+from tessera.llm.shared import sample
 
 SYLLABLES = {"en": "the ing ed th wh sh ou", "de": "ein sch ung der ch keit ß", "fr": "eau ou les é è ment que"}
 
@@ -41,3 +42,11 @@ def test_whole_texts_count():
     assert two > one + 2900
     a, b = features(pa.array(["ab cd", "ef"])), features(pa.array(["ef"]))
     assert sorted(a[0][a[1][1] :].tolist()) == sorted(b[0].tolist())
+
+
+def test_sample_of_sparse_and_rare_labels(spark):
+    rows = [(i, f"text {i}", None if i % 20 else "rare" if i == 1000 else "en") for i in range(4000)] + [(5000, None, "en"), (5001, "", "de"), (5002, "x", ""), (20, "a repeated id", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = [tuple(r) for r in sample(df, 150, "text", "lang", by="lang")]
+    assert len(got) == 150 and sum(y == "rare" for _, y in got) == 1 and {y for _, y in got} == {"en", "rare"} and ("text 20", "en") not in got
+    assert len(sample(df, 300, "text", "lang", by="lang")) == 200 and len(sample(df, 150, "text", "lang")) == 150
