@@ -24,11 +24,13 @@ KINDS = ("email", "phone", "ip", "card", "secret", "account")
 #: Texts whose lines are the background of training, those whose ids have the smallest hashes.
 SAMPLE = 300
 #: Characters of a window, and how many two windows share: more than the longest value.
-WINDOW, SHARED = 384, 80
+WINDOW, SHARED = 1024, 80
 #: Training: steps, windows in a step, their characters, and the hidden units of each direction.
 STEPS, BATCH, LENGTH, HIDDEN = 750, 48, 112, 8
 #: Windows decoded at a time.
-LOT = 768
+LOT = 512
+#: Bytes of texts that are tagged at a time; a longer text comes whole.
+SLICE = 1 << 20
 #: Characters of the shortest span, and digits that a value must have; an email address must have an ``@``.
 SHORTEST = 6
 FIGURES = {"phone": 7, "ip": 4, "card": 13, "secret": 2, "account": 7}
@@ -221,7 +223,7 @@ def find(docs: DataFrame, model: Tagger) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 1 << 19):
+        for b in slices(batches, "text", SLICE):
             spans = spans_of(model, b.column("text"))
             hit = [i for i, s in enumerate(spans) if s]
             if hit:
@@ -236,7 +238,7 @@ def redact(docs: DataFrame, model: Tagger) -> DataFrame:
     documents(docs, "doc_id")  # sets the size of batches
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 1 << 19):
+        for b in slices(batches, "text", SLICE):
             texts = b.column("text").to_pylist()
             for i, spans in enumerate(spans_of(model, b.column("text"))):
                 if spans:

@@ -8,6 +8,16 @@ from __future__ import annotations
 import numpy as np
 
 
+def squash(x: np.ndarray, spare: np.ndarray | None = None) -> np.ndarray:
+    """In place, ``c (2 - |c|)`` of ``x`` clipped to -1 and 1: as a function of ``2 x`` it stands for tanh, with its slope at 0,
+    and takes a fifth of its time."""
+    x.clip(-1, 1, out=x)
+    spare = np.abs(x, out=spare)
+    np.subtract(2, spare, out=spare)
+    x *= spare
+    return x
+
+
 class Tagger:
     """Weights, training by backpropagation with Adam, and Viterbi decoding."""
 
@@ -27,38 +37,46 @@ class Tagger:
     # Forward
 
     def _gates(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-        """Input tables and recurrent weights with the sigmoid's half folded in, so that one tanh does all gates."""
-        half = np.repeat([0.5, 0.5, 0.5, 1], self.hidden).astype(np.float32)
+        """Input tables and recurrent weights with the scales of :func:`squash` and of the sigmoid folded in."""
+        half = np.repeat([0.25, 0.25, 0.25, 0.5], self.hidden).astype(np.float32)
         return {d: ((self.p["x" + d] + self.p["b" + d]) * half, self.p["h" + d] * half) for d in "fb"}
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """Tag scores ``(steps, windows, tags)`` of symbols ``(steps, windows)``."""
+        return self._emissions(x).transpose(0, 2, 1)
+
+    def _emissions(self, x: np.ndarray) -> np.ndarray:
+        """Tag scores ``(steps, tags, windows)``: gates and tags are rows, so that each is contiguous over the windows."""
         steps, n = x.shape
         h = self.hidden
-        out = np.empty((steps, n, self.tags), np.float32)
-        z, rec = np.empty((n, 4 * h), np.float32), np.empty((n, 4 * h), np.float32)
-        u = np.empty((n, h), np.float32)
-        for d, (table, weight) in self._gates().items():
-            state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-            emit = self.p["e"][:h] if d == "f" else self.p["e"][h:]
-            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-                np.take(table, x[t], axis=0, out=z, mode="clip")
-                np.dot(state, weight, out=rec)
-                z += rec
-                np.tanh(z, out=z)
-                gates = z[:, : 3 * h]
-                gates *= 0.5
-                gates += 0.5
-                cell *= z[:, h : 2 * h]
-                np.multiply(z[:, :h], z[:, 3 * h :], out=u)
-                cell += u
-                np.tanh(cell, out=u)
-                np.multiply(u, z[:, 2 * h : 3 * h], out=state)
-                if d == "f":
-                    np.dot(state, emit, out=out[t])
-                else:
-                    out[t] += state @ emit
-        out += self.p["c"]
+        (fore, fw), (back, bw) = (self._gates()[d] for d in "fb")
+        fore, back = np.ascontiguousarray(fore.T), np.ascontiguousarray(back.T)
+        # A gate is (1 + y) / 2: the state's half is in its weights.
+        weight = np.stack([fw.T, bw.T]) * np.float32(0.5)
+        emit = self.p["e"].reshape(2, h, self.tags).transpose(0, 2, 1) * np.float32(0.5)
+        z, rec, spare = (np.empty((2, 4 * h, n), np.float32) for _ in range(3))
+        u, less, cell, state = (np.zeros((2, h, n), np.float32) for _ in range(4))
+        gates, into, forget, outof, fresh = z[:, : 3 * h], z[:, :h], z[:, h : 2 * h], z[:, 2 * h : 3 * h], z[:, 3 * h :]
+        states = np.empty((2, steps, h, n), np.float32)
+        for t in range(steps):
+            # Both directions go at once: the other one from the end.
+            fore.take(x[t], axis=1, out=z[0], mode="clip")
+            back.take(x[steps - 1 - t], axis=1, out=z[1], mode="clip")
+            np.matmul(weight, state, out=rec)
+            z += rec
+            squash(z, spare)
+            gates += 1
+            cell *= forget
+            np.multiply(into, fresh, out=u)
+            cell += u
+            cell *= 0.5
+            np.multiply(cell, 0.5, out=u)
+            squash(u, less)
+            np.multiply(u, outof, out=state)
+            states[0, t], states[1, steps - 1 - t] = state
+        out = np.matmul(emit[0], states[0])
+        out += np.matmul(emit[1], states[1], out=np.empty_like(out))
+        out += self.p["c"][:, None]
         return out
 
     def decode(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -68,21 +86,27 @@ class Tagger:
         of tag 0 and the best transition among other tags. Where even the best run through a step gains nothing, the
         step's tag is 0 and needs no search; Viterbi runs over the stretches between such steps.
         """
-        e = self.emissions(x)
+        e = self._emissions(x)
         t, s = self.p["t"] - self.p["t"][0, 0], self.p["s"] - self.p["s"][0]
         enter, leave, stay = max(float(t[0, 1:].max()), float(s[1:].max())), max(0.0, float(t[1:, 0].max())), float(t[1:, 1:].max())
-        top = e[:, :, 1].copy()
-        for k in range(2, self.tags):
-            np.maximum(top, e[:, :, k], out=top)
-        gain = np.where(mask, top - e[:, :, 0] + stay, np.float32(-1e6)).astype(float)
-        total = np.cumsum(gain, axis=0)
-        begun = np.concatenate([np.zeros((1, x.shape[1])), total[:-1]])
-        to_here = total - np.minimum.accumulate(begun, axis=0)
-        from_here = np.maximum.accumulate(total[::-1], axis=0)[::-1] - begun
+        gain = e[:, 1:].max(axis=1)
+        gain -= e[:, 0]
+        gain += np.float32(stay)
+        gain[~mask] = -1e6
+        # The best run that ends at a step, and that begins at one.
+        steps = len(x)
+        through, best = gain.copy(), np.empty(x.shape[1], np.float32)
+        for i in range(1, steps):
+            np.maximum(through[i - 1], 0, out=best)
+            through[i] += best
+        after = gain[-1].copy()
+        for i in range(steps - 2, -1, -1):
+            np.maximum(after, 0, out=after)
+            through[i] += after
+            after += gain[i]
         # Parts of a path that touch, as two runs with no tag 0 between, are one run here.
-        hot = (to_here + from_here - gain - stay + enter + leave > -1e-3) & mask
+        hot = (through > np.float32(stay - enter - leave - 1e-2)) & mask
         out = np.zeros(x.shape, np.int8)
-        steps = len(x)
         flat = np.zeros((x.shape[1], steps + 2), np.int8)
         flat[:, 1:-1] = hot.T
         change = np.diff(flat, axis=1)
@@ -98,7 +122,7 @@ class Tagger:
             at = np.minimum(at, steps - 1)
             start = np.where((a == 0)[:, None], s, t[0])
             last = np.where((z < size[w])[:, None], t[:, 0], 0)
-            got = self._viterbi(e[at, w], inside, t, start, last)
+            got = self._viterbi(e[at, :, w], inside, t, start, last)
             out[at[inside], np.broadcast_to(w, at.shape)[inside]] = got[inside]
         return out
 
@@ -131,11 +155,11 @@ class Tagger:
         state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
         kept = []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            z = np.tanh(table[x[t]] + state @ weight)
+            z = squash(table[x[t]] + state @ weight)
             g = 0.5 * z[:, : 3 * h] + 0.5
             before, c = state, cell
             cell = g[:, h : 2 * h] * c + g[:, :h] * z[:, 3 * h :]
-            u = np.tanh(cell)
+            u = squash(cell * np.float32(0.5))
             state = u * g[:, 2 * h :]
             kept.append((t, before, c, z, g, u, state))
         return kept
@@ -183,14 +207,15 @@ class Tagger:
         grad["c"] = de.sum(axis=(0, 1))
         dh = de @ p["e"].T
         half = np.repeat([0.5, 0.5, 0.5, 1], h).astype(np.float32)
+        slope = lambda y: np.sqrt(np.maximum(0, 1 - np.abs(y)))  # of squash, from its value
         for d, part in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
             down, dc = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
             dzs, idx = [], []
             for t, before, c, z, g, u, _ in reversed(runs[d]):
                 ds = dh[t, :, part] + down
-                dc = dc + ds * g[:, 2 * h :] * (1 - u * u)
+                dc = dc + ds * g[:, 2 * h :] * slope(u)
                 dg = np.concatenate([dc * z[:, 3 * h :], dc * c, ds * u], axis=1) * 0.5
-                dz = np.concatenate([dg, dc * g[:, :h]], axis=1) * (1 - z * z)  # before tanh
+                dz = np.concatenate([dg, dc * g[:, :h]], axis=1) * slope(z)  # before squash
                 dz *= half
                 grad["h" + d] += before.T @ dz
                 down = dz @ p["h" + d].T
