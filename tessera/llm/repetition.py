@@ -16,8 +16,8 @@ from tessera.llm.tokens import _BASE, _INVERSE, U64, Words, _powers, flat, mix,
 MOST = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: The largest share of characters that repeated lines may cover.
 MOST_LINES = 0.30
-#: A single repeat of up to so many bytes is no fault: one line said twice would else condemn a short text.
-SLIGHT = 150
+#: A single repeat of less than this share is no fault: one line said twice would else condemn a short text.
+ONCE = 0.5
 _SCHEMA = "doc_id long, n_words int, line_share double, " + ", ".join(f"gram{n}_share double" for n in MOST) + ", keep boolean"
 
 
@@ -107,9 +107,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "text"):
         n_words, grams, single = _grams(b.column("text"))
         lines, once = _lines(b.column("text"))
-        size = np.diff(flat(b.column("text"))[1])
-        # What is said twice is half of a text at most.
-        fine = [(share <= most) | (one & (share * size <= SLIGHT) & (share <= 0.5)) for share, most, one in ((lines, MOST_LINES, once), *((grams[n], MOST[n], single[n]) for n in MOST))]
+        fine = [(share <= most) | (one & (share < ONCE)) for share, most, one in ((lines, MOST_LINES, once), *((grams[n], MOST[n], single[n]) for n in MOST))]
         keep = np.all(fine, axis=0) & (n_words > 0)
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), pa.array(n_words, pa.int32()), pa.array(lines), *(pa.array(grams[n]) for n in MOST), pa.array(keep)],
@@ -120,11 +118,12 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repetition(docs: DataFrame) -> DataFrame:
     """One row for each document, with its shares and whether all of them are within bounds.
 
-    A share above its bound is forgiven if it is of a single repeat: one line, or one run of words, said twice, of up to
-    ``SLIGHT`` bytes and half of the text.
+    A share above its bound is forgiven if it is of a single repeat, one line or one run of words said twice, and below
+    ``ONCE``: a text that is nothing but something said twice has 0.5. The rule is the same for texts of all lengths.
 
     A null or empty text, or one without a word, has no share and isn't kept. Rows with a null id are left out;
-    repeated rows give repeated results; other columns don't matter. Nothing is shuffled.
+    repeated rows give repeated results; other columns don't matter; an empty table gives an empty result. A share that
+    equals its bound is within it. Texts are read whole, whatever their length. Nothing is shuffled.
     """
     return documents(docs, "doc_id", "text").mapInArrow(_measure, _SCHEMA)
 
@@ -136,5 +135,10 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keep_clean(docs: DataFrame) -> DataFrame:
-    """The documents that :func:`repetition` keeps, with all their columns, in one pass and without a join."""
+    """The documents that :func:`repetition` keeps, with all their columns, in one pass and without a join.
+
+    Rows with a null id go, as do null and empty texts; repeated rows are judged each for itself; nulls in other columns
+    stay, and so do columns of any name. An empty table gives an empty one.
+    """
+    documents(docs, "doc_id")  # sets the size of batches
     return docs.where(docs["doc_id"].isNotNull()).mapInArrow(_kept, docs.schema)

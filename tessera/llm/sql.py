@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.minhash import NEAR, SHINGLE
-from tessera.llm.repetition import MOST, MOST_LINES, SLIGHT
+from tessera.llm.repetition import MOST, MOST_LINES, ONCE
 from tessera.llm.suffixes import PASSAGE
 from tessera.llm.urls import url_filter_sql
 
@@ -19,20 +19,20 @@ def repetition_sql() -> str:
         "t AS (SELECT rid, sum(strlen(word)) AS whole FROM w GROUP BY rid)",
         "l0 AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)",
         "l1 AS (SELECT rid, strlen(line) AS size, row_number() OVER (PARTITION BY rid, line ORDER BY i) > 1 AS later FROM l0 WHERE regexp_matches(line, '[^ \\t\\r]'))",
-        "l AS (SELECT rid, sum(CASE WHEN later THEN size ELSE 0 END)::DOUBLE / greatest(sum(size), 1) AS share FROM l1 GROUP BY rid)",
+        "l AS (SELECT rid, sum(CASE WHEN later THEN size ELSE 0 END)::DOUBLE / greatest(sum(size), 1) AS share, count_if(later) = 1 AS once FROM l1 GROUP BY rid)",
     ]
     for n in MOST:
         gram = " || ' ' || ".join(["word", *(f"lead(word, {j}) OVER p" for j in range(1, n))])
         ctes += [
             f"a{n} AS (SELECT rid, pos, word, {gram} AS gram FROM w WINDOW p AS (PARTITION BY rid ORDER BY pos))",
-            f"b{n} AS (SELECT rid, pos, word, gram IS NOT NULL AND row_number() OVER (PARTITION BY rid, gram ORDER BY pos) > 1 AS later FROM a{n})",
-            f"c{n} AS (SELECT rid, word, max(later::INT) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS inside FROM b{n})",
-            f"g{n} AS (SELECT rid, sum(CASE WHEN inside = 1 THEN strlen(word) ELSE 0 END)::DOUBLE AS covered FROM c{n} GROUP BY rid)",
+            f"b{n} AS (SELECT rid, pos, word, CASE WHEN gram IS NOT NULL THEN row_number() OVER (PARTITION BY rid, gram ORDER BY pos) ELSE 1 END AS nth FROM a{n})",
+            f"c{n} AS (SELECT rid, word, nth, nth > 1 AND coalesce(lag(nth) OVER (PARTITION BY rid ORDER BY pos), 1) = 1 AS begins, max((nth > 1)::INT) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS inside FROM b{n})",
+            f"g{n} AS (SELECT rid, sum(CASE WHEN inside = 1 THEN strlen(word) ELSE 0 END)::DOUBLE AS covered, count_if(begins) = 1 AND max(nth) < 3 AS once FROM c{n} GROUP BY rid)",
         ]
-    shares = {"line_share": ("coalesce(l.share, 0)", MOST_LINES)} | {f"gram{n}_share": (f"coalesce(g{n}.covered / t.whole, 0)", m) for n, m in MOST.items()}
-    fine = " AND ".join(f"({x} <= {m} OR {x} * strlen(text) <= {SLIGHT})" for x, m in shares.values())
+    shares = {"line_share": ("coalesce(l.share, 0)", MOST_LINES, "l.once")} | {f"gram{n}_share": (f"coalesce(g{n}.covered / t.whole, 0)", m, f"g{n}.once") for n, m in MOST.items()}
+    fine = " AND ".join(f"({x} <= {m} OR ({once} AND {x} < {ONCE}))" for x, m, once in shares.values())
     joins = " ".join(f"LEFT JOIN {x} ON {x}.rid = d.rid" for x in ("t", "l", *(f"g{n}" for n in MOST)))
-    return "WITH " + ", ".join(ctes) + f" SELECT doc_id, len(ws)::INT AS n_words, {', '.join(f'{x} AS {k}' for k, (x, _) in shares.items())}, len(ws) > 0 AND {fine} AS keep FROM d {joins}"
+    return "WITH " + ", ".join(ctes) + f" SELECT doc_id, len(ws)::INT AS n_words, {', '.join(f'{x} AS {k}' for k, (x, *_) in shares.items())}, len(ws) > 0 AND {fine} AS keep FROM d {joins}"
 
 
 def near_groups_sql() -> str:

@@ -1,7 +1,7 @@
 import random
 import re
 
-from tessera.llm.repetition import MOST, MOST_LINES, SLIGHT, gram_shares, keep_clean, line_shares, repetition
+from tessera.llm.repetition import MOST, MOST_LINES, ONCE, gram_shares, keep_clean, line_shares, repetition
 
 import pyarrow as pa
 
@@ -28,6 +28,30 @@ def brute_force(text):
     return out, twice / max(1, sum(len(x.encode()) for x in lines))
 
 
+def once(text):
+    """By n, and for lines under 0: whether one run of words, or one line, is there again, once, and no other."""
+    words = [m.group().lower() for m in re.finditer(r"[^\W_]+", text or "")]
+    out = {}
+    for n in MOST:
+        seen, again = {}, []
+        for i in range(len(words) - n + 1):
+            gram = tuple(words[i : i + n])
+            seen[gram] = seen.get(gram, 0) + 1
+            if seen[gram] > 1:
+                again.append(i)
+        out[n] = len(again) > 0 and again == list(range(again[0], again[-1] + 1)) and max(seen.values()) == 2
+    lines = [x for x in (text or "").split("\n") if x.strip(" \t\r")]
+    out[0] = len(lines) - len(set(lines)) == 1
+    return out
+
+
+def kept(text):
+    grams, line = brute_force(text)
+    single = once(text)
+    shares = [(line, MOST_LINES, single[0]), *((grams[n], MOST[n], single[n]) for n in MOST)]
+    return bool(re.search(r"[^\W_]", text or "")) and all(s <= m or (one and s < ONCE) for s, m, one in shares)
+
+
 def texts():
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(1, 3)))
@@ -47,6 +71,12 @@ def test_shares_against_brute_force():
         assert abs(lines[i] - line) < 1e-9 and all(abs(grams[n][i] - want[n]) < 1e-9 for n in MOST), repr(text)
 
 
+def test_verdicts_against_brute_force(spark):
+    rows = list(enumerate(texts()))
+    got = {r.doc_id: r.keep for r in repetition(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: kept(t) for i, t in rows} and 5 < sum(got.values()) < len(rows) - 5
+
+
 def test_operator(spark):
     rng = random.Random(1)
     clean = " ".join("".join(rng.choice("aeioustn") for _ in range(6)) for _ in range(3000))
@@ -55,15 +85,12 @@ def test_operator(spark):
     got = repetition(df).collect()
     assert sorted((r.doc_id, r.keep) for r in got) == [(1, True), (1, True), (2, True), (3, False), (4, False), (5, False)]
     for r in got:
-        grams, line = brute_force(next(t for i, t, _ in rows if i == r.doc_id))
-        size = len((next(t for i, t, _ in rows if i == r.doc_id) or "").encode())
-        fine = all(s <= m or s * size <= SLIGHT for s, m in ((line, MOST_LINES), *((grams[n], MOST[n]) for n in MOST)))
-        assert r.keep == (fine and r.n_words > 0)
+        assert r.keep == kept(next(t for i, t, _ in rows if i == r.doc_id))
     assert sorted(map(tuple, keep_clean(df).collect())) == [(1, clean, "x"), (1, clean, "y"), (2, rows[1][1], "x")]
     assert keep_clean(df.limit(0)).collect() == [] and repetition(df.limit(0)).collect() == []
 
 
-def test_only_a_single_short_repeat_is_forgiven(spark):
+def test_only_a_single_repeat_is_forgiven(spark):
     line = "We close at noon on all of the bank holidays"
     rest = " ".join(f"w{i}" for i in range(20))
     rows = [
@@ -74,7 +101,10 @@ def test_only_a_single_short_repeat_is_forgiven(spark):
         (5, "one two three four five. " * 3 + rest, False),
         (6, "\n".join(["a first line", "the second", "a first line", "the second"]), False),  # two lines
         (7, "one two three four five a b six seven eight nine ten c d one two three four five e f six seven eight nine ten", False),  # two runs
+        (8, f"{rest}\n{rest}", False),  # nothing but something said twice
+        (9, "\n".join(["buy now cheap pills today"] * 5), False),
+        (10, "\n".join([" ".join(f"v{i}" for i in range(900)), " ".join(f"u{i}" for i in range(50)), " ".join(f"v{i}" for i in range(900))]), True),  # the same rule for long ones
     ]
     df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").coalesce(1)
     assert {r.doc_id: r.keep for r in repetition(df).collect()} == {i: keep for i, _, keep in rows}
-    assert {r.doc_id for r in keep_clean(df).collect()} == {3}
+    assert {r.doc_id for r in keep_clean(df).collect()} == {3, 10}

@@ -9,11 +9,14 @@ def pages():
     rows += [(100 + i, f"http://mixed.example.net:80/spam/{100 + i}/") for i in range(12)]
     rows += [(200 + i, f"http://mixed.example.net/news/2024-01-0{1 + i % 9}/a-long-title-{i}/{200 + i}") for i in range(12)]
     rows += [(300 + i, f"http://u@deep.example.com/a/b/c/d/e/f/{i}") for i in range(3)] + [(400 + i, f"https://tags.example.com/tag{i}/{400 + i}") for i in range(30)]
+    for i in range(12):  # branches that differ only at the eighth level of ten
+        rows += [(600 + i, f"http://far.example.com/1/a/b/c/d/e/f/spam/x/{600 + i}"), (700 + i, f"http://far.example.com/1/a/b/c/d/e/f/sport/x/{700 + i}")]
+    rows += [(800, "http://long.example.com/" + "s/" * 600 + "1"), (801, "http://long.example.com/" + "s/" * 2 + "2")]
     return rows + [(500, None), (501, ""), (502, "not a url"), (503, "http://good.example.org"), (504, "http:///x/1"), (None, "https://good.example.org/en/5"), (0, rows[0][1]), (0, rows[0][1])]
 
 
 def labels():
-    rows = [(i, 1, 0) for i in range(0, 40, 2)] + [(100 + i, 0, 0) for i in range(8)] + [(200 + i, 1, 0) for i in range(9)] + [(400 + i, 1, i % 2) for i in range(30)]
+    rows = [(i, 1, 0) for i in range(0, 40, 2)] + [(100 + i, 0, 0) for i in range(8)] + [(200 + i, 1, 0) for i in range(9)] + [(400 + i, 1, i % 2) for i in range(30)] + [(600 + i, 0, 0) for i in range(8)] + [(700 + i, 1, 0) for i in range(9)]
     return rows + [(100, 1, 0), (None, 0, 1), (7, None, None)]
 
 
@@ -41,7 +44,9 @@ def test_verdicts(spark):
     assert got[0].template == "/en/*" or got[0].template == "/en/<n>.html"
     assert got[0].keep and got[200].keep and not got[100].keep and not got[111].keep  # unlabelled pages follow their template
     assert got[100].template.startswith("/spam/") and got[200].template != got[100].template
-    assert got[400].template == got[429].template == "/*/<n>" and got[300].template.endswith("**")
+    assert got[400].template == got[429].template == "/*/<n>" and got[300].template == "/a/b/c/d/e/f/<n>"
+    assert not got[611].keep and got[711].keep and got[600].template == "/<n>/a/b/c/d/e/f/spam/x/<n>"
+    assert got[800].template == "/" + "s/" * 600 + "<n>" and got[801].template == "/s/s/<n>"
     assert not any(got[i].keep for i in (500, 501, 502, 504)) and got[503].template == "/"
 
 
