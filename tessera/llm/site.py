@@ -11,7 +11,8 @@ same on all pages is template; entropy measures that:
   children, weighted by pages and features, ``l`` being the number of its child tags.
 
 Branches in which no node reaches a least importance are removed from each page; what is left is its text. The least
-importance is set by the host's main content, the node with the most features: on few pages all features are rare.
+importance is set by the host's main content, the node with the most features: on few pages all features are rare. It is lower by one
+in the number of pages, so that on two pages, where chance makes much of what differs, a branch must say mostly the same.
 """
 
 from __future__ import annotations
@@ -34,8 +35,6 @@ GAMMA = 0.9
 FACTOR = 1.6
 #: Rows that the features of one node are parted into, by hash.
 PARTS = 16
-#: Hosts with fewer pages than this have no template to learn; their pages lose only what is never content.
-PAGES = 4
 #: Bytes of all hosts' trees up to which they are sent to every executor.
 SENT = 8 << 20
 #: Elements that are never content, and that have no end tag.
@@ -55,10 +54,12 @@ _HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 class Node:
-    __slots__ = ("tag", "key", "parent", "children", "text")
+    __slots__ = ("tag", "key", "parent", "children", "text", "stop")
 
     def __init__(self, tag: str, key: int, parent: "Node | None"):
         self.tag, self.key, self.parent = tag, key, parent
+        # The nearest element, itself included, at which the search for what a start tag ends comes to a stop.
+        self.stop: Node = self if parent is None or tag in BLOCKS or tag in CLOSES else parent.stop
         self.children: list[Node | str] = []
         self.text = ""
 
@@ -85,9 +86,19 @@ def _key(parent: int, name: str) -> int:
 
 
 def parse(html: str) -> Node:
-    """A tree of whatever text: unknown ends are ignored, missing ones added, text stays in order."""
+    """A tree of whatever text: unknown ends are ignored, missing ones added, text stays in order. Its time is in
+    proportion to the text's length: each element is left once, and an end without an open element looks for none."""
     root = Node("", 1, None)
     at, last = root, 0
+    opened: Counter = Counter()
+
+    def leave(up: Node) -> Node:
+        x = at
+        while x is not up.parent:
+            opened[x.tag] -= 1
+            x = x.parent
+        return x
+
     for m in _TOKEN.finditer(html):
         if m.start() > last:
             at.children.append(html[last : m.start()])
@@ -97,22 +108,17 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if end:
-            up = at
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                at = up.parent
+            if opened[tag]:
+                up = at
+                while up.tag != tag:
+                    up = up.parent
+                at = leave(up)
             continue
         closes = CLOSES.get(tag, ())
         if tag in _ENDS_P:
             closes = {*closes, "p"}
-        while closes and at.parent is not None:
-            up = at
-            while up.parent is not None and up.tag not in closes and (up.tag not in BLOCKS or up.tag in ("b",)):
-                up = up.parent
-            if up.tag not in closes or up.parent is None:
-                break
-            at = up.parent
+        while closes and at.stop.tag in closes:
+            at = leave(at.stop)
         name = tag
         attrs = m.group(4)
         if attrs and "=" in attrs:
@@ -126,6 +132,7 @@ def parse(html: str) -> Node:
         at.children.append(child)
         if tag not in VOID and not attrs.endswith("/"):
             at = child
+            opened[tag] += 1
     if last < len(html):
         at.children.append(html[last:])
     return root
@@ -329,16 +336,14 @@ def importances(rows: list[dict]) -> dict[int, float]:
 
 
 def low_branches(rows: list[dict]) -> list[int]:
-    """The roots of branches in which no node reaches the least importance; none for hosts of few pages. ``html`` and ``body`` stay."""
-    pages = max((r["pages"] or 0 for r in rows), default=0)
-    if pages < PAGES:
-        return []
+    """The roots of branches in which no node reaches the least importance; none on a single page, where that is 0. ``html`` and ``body`` stay."""
+    pages = max((r["pages"] or 0 for r in rows), default=1)
     parent = {r["node"]: r["parent"] for r in rows}
     signed = lambda k: k - (1 << 64) if k >= 1 << 63 else k
     good = {signed(k) for k in (1, _key(1, "html"), _key(_key(1, "html"), "body"))}
     score = importances(rows)
     main = max(rows, key=lambda r: (r["features"] or 0, r["node"]))["node"]
-    least = 1 - FACTOR * (1 - score[main])
+    least = (1 - FACTOR * (1 - score[main])) * (1 - 1 / max(1, pages))
     for k, s in score.items():
         while s >= least and k in parent and k not in good:
             good.add(k)
@@ -382,9 +387,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, host, text`` of each page: its text without the branches that its host's style tree finds low.
 
-    Pages of hosts with fewer than ``PAGES`` pages, and those without a host (null, empty or malformed URLs), lose only
-    scripts, styles and the like. A null or empty page has an empty text. Repeated rows give repeated results and
-    count as pages each. Other columns don't matter.
+    The only page of a host, and pages without a host (null, empty or malformed URLs), lose only scripts, styles and the
+    like. A null or empty page has an empty text. Rows with a null id stay; repeated rows give repeated results and
+    count as pages each. Pages are read whole, whatever their length. Other columns don't matter; an empty table gives
+    an empty result. Of nodes with equally many features the one with the greater key is the main content.
     """
     documents(pages.withColumn("doc_id", F.lit(1)), "doc_id")  # sets the size of batches
     host = F.nullif(F.lower(F.regexp_extract("url", _HOST, 1)), F.lit(""))

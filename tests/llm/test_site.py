@@ -81,5 +81,25 @@ def test_main_content_stays_and_template_goes(spark):
         assert got[i][0].split("\n") == want
 
 
+def test_hosts_of_few_pages(spark):
+    rows = [(10 * n + i, f"https://few{n}.example.com/{i}", h) for n in (2, 3) for i, _, h in site(n, seed=n)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i, _, html in rows:
+        want = re.findall(r"<(?:h1|p)>([^<]*)<", html)
+        assert [x for x in got[i].split("\n") if x not in ("Home About us", "HomeAbout us")] == want and "Example Company" not in got[i], got[i]
+
+
+def test_parsing_takes_time_in_proportion():
+    import time
+
+    for made in (lambda n: "<i>" * n + "</x>" * n, lambda n: "<li><div>" + "<i>" * n + "<li></li>" * n):
+        took = []
+        for n in (4000, 16000):
+            began = time.process_time()
+            parse(made(n))
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.5
+
+
 def test_empty_table(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
