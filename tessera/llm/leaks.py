@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,13 @@ COVERED, LOOSE = 0.7, 0.5
 ANSWER, ANSWERED = 0.3, 0.8
 #: The share of an item's words that a place must hold among its rarest ones to be looked at: more are read, fewer places remain.
 SEEN = 0.2
-#: Terms in more than this share of passages weigh nothing.
-COMMON = 0.01
+#: Terms in more than this share of passages, of which ``UNSEEN`` more are thought to be there, weigh nothing in the latent
+#: space. Items of such words alone are found by words, as all items are (step 3).
+COMMON, UNSEEN = 0.01, 2000
+#: Splits of the table that one task of the decomposition reads: what is shuffled is a sum of fixed size from each.
+SPLITS = 8
+#: Parts in which the tasks' sums are added up first.
+PARTS = 32
 
 
 def _terms(word: np.ndarray) -> np.ndarray:
@@ -116,7 +122,7 @@ def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 def weights(df: np.ndarray, passages: int) -> np.ndarray:
     """Inverse document frequencies; 0 for terms of too many passages."""
     idf = np.log((1 + passages) / (1 + df)).astype(np.float32)
-    idf[df > max(COMMON * passages, 20)] = 0
+    idf[df > COMMON * (passages + UNSEEN)] = 0
     return idf
 
 
@@ -151,9 +157,9 @@ def directions(texts: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
             z = _sums(_block_sums(table, w, row, first), _passages(row, len(w.first) - 1), n) / norm[:, None].astype(np.float32)
             order = np.argsort(term.astype(np.uint16), kind="stable")
             y += _sums(z[passage[order]] * value[order, None], term[order], TERMS)
-        part = 1 << 10
+        task, part = TaskContext.get().partitionId() % PARTS, 1 << 10
         for i in range(0, TERMS, part):
-            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([y[i : i + part].tobytes()], pa.binary())], ["at", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([task]), pa.array([y[i : i + part].tobytes()], pa.binary())], ["at", "part", "y"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -164,10 +170,12 @@ def directions(texts: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
         for at, y in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([y.tobytes()], pa.binary())], ["at", "y"])
 
-    # One sum for each core rather than for each split: the sums, of a fixed size, are all that is shuffled.
-    few = texts.coalesce(2 * spark.sparkContext.defaultParallelism)
+    # A task reads a bounded number of splits, so that its time doesn't follow the table's size; the sums, of a fixed
+    # size each, are all that is shuffled, and are added up in two steps.
+    few = texts.coalesce(max(2 * spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // SPLITS))
     y = np.zeros(omega.shape, np.float64)
-    for r in few.mapInArrow(sketch, "at long, y binary").repartition("at").mapInArrow(add, "at long, y binary").collect():
+    sums = few.mapInArrow(sketch, "at long, part long, y binary").repartition("at", "part").select("at", "y").mapInArrow(add, "at long, y binary")
+    for r in sums.repartition("at").mapInArrow(add, "at long, y binary").collect():
         part = np.frombuffer(r.y, np.float32).reshape(-1, omega.shape[1])
         y[r.at : r.at + len(part)] += part
     core = omega.astype(float).T @ y
@@ -340,9 +348,11 @@ def _model(docs: DataFrame, benchmark: DataFrame):
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, covered, start, end`` of each benchmark item in each text; positions are characters.
 
-    Every item is searched in all passages of whole texts. Null and empty texts and items match nothing; rows with a
-    null id are left out; repeated rows give repeated results. Other columns don't matter. The benchmark is held by
-    every worker: it is a test set, and doesn't grow with the corpus.
+    Every item is searched in all passages of whole texts, whatever their length. Null and empty texts and items match
+    nothing; rows with a null id are left out; repeated rows give repeated results, items that repeat count once. Of
+    places of one item in a text that cover equally much, the first one found is given. Other columns don't matter;
+    an empty table on either side gives an empty result. The benchmark is held by every worker: it is a test set, and
+    doesn't grow with the corpus.
     """
     sent = _model(docs, benchmark)
 
@@ -364,7 +374,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a benchmark item, with all their columns; in one pass, without a join."""
+    """The documents without a benchmark item, with all their columns; in one pass, without a join.
+
+    Rows with a null id go; null and empty texts hold no item and stay, as do repeated rows, columns of any name and
+    nulls in them. An empty table gives an empty one; without items all rows with an id stay.
+    """
+    docs = docs.where(docs["doc_id"].isNotNull())
     sent = _model(docs, benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -115,3 +115,38 @@ def test_short_items_in_long_documents(spark):
     found = {(r.doc_id, r.item_id) for r in leaks(df, bench).collect()}
     assert want <= found and len(found - want) <= 2
     assert drop_leaks(df, bench).count() == len(docs) - len({i for i, _ in found})
+
+
+def test_all_items_against_all_texts(spark):
+    """The whole operator against a loop over every item, every text and every place in it."""
+    from tessera.llm.leaks import ANSWER, ANSWERED, COVERED, LOOSE
+
+    rng, lexicon, prose = world(11)
+    items = [(k, " ".join(prose((6, 9, 14, 20, 45)[k % 5]))) for k in range(20)] + [(50, "the of and to the of to and of the")]  # of common words alone
+    docs = []
+    for i in range(60):
+        words = prose(rng.randint(1, 90))
+        if i % 2:
+            part = [rng.choice(lexicon) if rng.random() < 0.2 else w for w in items[i % 21][1].split() if rng.random() > 0.1]
+            at = rng.randint(0, len(words))
+            words[at:at] = part
+        docs.append((i, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    count, n = frequencies(df.select("text"))
+    idf = weights(count, n)
+    words_of = lambda t: [h for h in Words(pa.array([t])).hash.tolist()]
+    want = {}
+    for i, text in docs:
+        mine = words_of(text)
+        for k, item in items:
+            words = words_of(item)
+            rare = sorted(set(words), key=lambda h: (-idf[h >> 50], h))
+            answer = set(rare[: max(1, round(ANSWER * len(rare)))])
+            for a in range(len(mine)):
+                part = mine[a : a + int(1.5 * len(words)) + 1]
+                covered = common_subsequence(words, part) / len(words)
+                if covered >= COVERED or (covered >= LOOSE and len(answer & set(part)) >= ANSWERED * len(answer)):
+                    want[i, k] = max(want.get((i, k), 0), round(covered, 6))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.covered for r in leaks(df, bench).collect()}
+    assert got == want and any(k == 50 for _, k in got)
