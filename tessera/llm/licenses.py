@@ -10,6 +10,7 @@ template's shingles that the window and its neighbourhood hold.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,8 +122,12 @@ class Scanner:
                 out.append(hit_)
         # Where notices of several templates overlap, those that hold more words stand.
         best: list[tuple] = []
+        taken: dict[int, list[tuple[int, int]]] = {}  # those of a row that stand lie apart, so their neighbours in order tell
         for hit_ in sorted(out, key=lambda x: (x[0], x[3] - x[4], -x[2], x[1])):
-            if not any(h[0] == hit_[0] and h[3] < hit_[4] and hit_[3] < h[4] for h in best if h[0] == hit_[0]):
+            apart = taken.setdefault(hit_[0], [])
+            i = bisect(apart, hit_[3:5])
+            if not (i and apart[i - 1][1] > hit_[3]) and not (i < len(apart) and apart[i][0] < hit_[4]):
+                apart.insert(i, hit_[3:5])
                 best.append(hit_)
         return [(r, t, s, int(w.start[a]), int(w.end[b - 1])) for r, t, s, a, b in sorted(best)]
 
