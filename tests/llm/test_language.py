@@ -50,3 +50,23 @@ def test_sample_of_sparse_and_rare_labels(spark):
     got = [tuple(r) for r in sample(df, 150, "text", "lang", by="lang")]
     assert len(got) == 150 and sum(y == "rare" for _, y in got) == 1 and {y for _, y in got} == {"en", "rare"} and ("text 20", "en") not in got
     assert len(sample(df, 300, "text", "lang", by="lang")) == 200 and len(sample(df, 150, "text", "lang")) == 150
+
+
+def test_prediction_against_a_loop():
+    """Language, confidence and rejection from a loop over the subwords of each text, one exponential at a time."""
+    import math
+
+    model = train(rows(120, 4))
+    texts = [t for t, _ in rows(40, 5)] + ["", None, "12 ?!", "Über éa x", "THE thing"]
+    ids, first = features(pa.array(texts))
+    named, sure = model.predict(pa.array(texts))
+    for i in range(len(texts)):
+        mine = ids[first[i] : first[i + 1]].tolist()
+        if not mine:
+            assert (named[i], sure[i]) == ("und", 0)
+            continue
+        z = [sum(float(model.weight[g, k]) for g in mine) / len(mine) + float(model.bias[k]) for k in range(len(model.languages))]
+        e = [math.exp((x - max(z)) / model.temperature) for x in z]
+        best = max(range(len(e)), key=lambda k: (e[k], -k))
+        p = e[best] / sum(e)
+        assert abs(p - sure[i]) < 1e-4 and named[i] == (model.languages[best] if p >= model.least else "und")
