@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 def test_stages_against_brute_force(spark, tmp_path):
     from tests.llm.test_minhash import brute_force as groups_of
-    from tests.llm.test_repetition import MOST, MOST_LINES, SLIGHT, brute_force as shares_of
+    from tests.llm.test_repetition import kept as clean
     import re
 
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
@@ -19,11 +19,6 @@ def test_stages_against_brute_force(spark, tmp_path):
     bench = [r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     words = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
 
-    def clean(t):
-        grams, line = shares_of(t)
-        size = len(t.encode())
-        return bool(words(t)) and all(s <= m or s * size <= SLIGHT for s, m in ((line, MOST_LINES), *((grams[n], MOST[n]) for n in MOST)))
-
     want = {i for i, t in rows.items() if clean(t)}
     seen = []
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -46,10 +41,23 @@ def test_stages_against_brute_force(spark, tmp_path):
             text = {r.doc_id: r.text for r in docs.collect()}
             assert not any(re.search(r"@mail\d\.example|\d{16}|\+1 \(\d{3}\)", t) for t in text.values())
     assert seen[2] == seen[3] == seen[4]
+    # run() is these stages, each over what the one before kept.
+    assert sorted(map(str, corpus_pipeline.run(spark, FOLDER).collect())) == sorted(map(str, docs.collect())) and corpus_pipeline.ORACLE_SQL is None
     assert {r.doc_id: r.text for r in decode(docs).collect()} == text
 
 
-@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-def test_run_is_its_stages(spark):
-    out = corpus_pipeline.run(spark, FOLDER)
-    assert out.columns == ["doc_id", "n_tokens", "ids"] and out.count() > 50 and corpus_pipeline.ORACLE_SQL is None
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    """Null ids go at once, empty texts at the first stage, repeated rows at the second; other columns stay; empty tables pass."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "en", None, 1, "a"), (1, text, "en", None, 1, "a"), (2, text.upper(), None, "s", None, None), (3, None, None, None, None, None), (4, "", "en", "s", 0, "b"), (None, text, "en", "s", 1, "c"), (5, "zz " + " ".join(f"é{i}" for i in range(90_000)), "fr", "s", 5, "d")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, keep string"
+    spark.createDataFrame([(1, text + " and the end")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for some, want in ((rows, {1, 5}), ([], set())):
+        docs = spark.createDataFrame(some, schema)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            out = stage(spark, docs, str(tmp_path))
+            assert out.dtypes == docs.dtypes
+            out.write.parquet(f"{tmp_path}/{len(some)}-{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{len(some)}-{k}")
+        assert {r.doc_id for r in docs.collect()} == want - {1}  # the first one is a benchmark item
+        assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == want - {1}
