@@ -89,3 +89,80 @@ def half_up(c: Column, digits: int) -> Column:
 def slice_text(c: Column, offset: int, most: int) -> Column:
     """``most`` characters from ``offset`` on, counted from 0 (SC10)."""
     return F.substring(c, offset + 1, most)
+
+
+def plain(c: Column) -> Column:
+    """Lower case without accents, pictures and signs: letters and digits of any script, single spaces (SC2)."""
+    return F.trim(F.regexp_replace(unaccent(F.lower(c)), r"[^\p{L}\p{N}]+", " "))
+
+
+def word_trigrams(c: Column) -> Column:
+    """Distinct trigrams of each word with two spaces before it and one behind, as databases index them (SC16)."""
+    each = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))
+    return F.array_distinct(F.flatten(F.transform(tokens(c), each)))
+
+
+def word_similarity(a: Column, b: Column) -> Column:
+    """Jaccard coefficient of :func:`word_trigrams`; from 0.3 on a database calls two texts similar (SC16)."""
+    return set_similarity(word_trigrams(a), word_trigrams(b))
+
+
+def first_filled(*columns: Column) -> Column:
+    """The first that is neither null nor blank: an image's version from its tag, date and number (SC8), or the text for
+    reranking from several fields (SC35)."""
+    return F.coalesce(*[F.when(F.trim(c.cast("string")) != "", c.cast("string")) for c in columns])
+
+
+def canonical(c: Column, synonyms: dict[str, str]) -> Column:
+    """The word that a synonym stands for, spaces, dashes and case aside; others in that same form (SC27)."""
+    squeezed = lambda x: "".join(x.lower().split()).replace("-", "")
+    low = F.regexp_replace(F.lower(c), r"[\s-]+", "")
+    if not synonyms:
+        return low
+    known = F.create_map(*[F.lit(x) for k, v in synonyms.items() for x in (squeezed(k), v)])
+    return F.coalesce(F.try_element_at(known, low), low)
+
+
+def listed(c: Column, is_array: bool) -> Column:
+    """An array of the value, or the array itself; an empty one for null and blank (SC33)."""
+    none = F.array().cast("array<string>")
+    return F.coalesce(c, none) if is_array else F.when(F.trim(c) != "", F.array(c)).otherwise(none)
+
+
+def overlaps(a: Column, b: Column) -> Column:
+    """Whether two arrays of texts share one, case aside (SC33)."""
+    low = lambda x: F.transform(x, lambda v: F.lower(v))
+    return F.coalesce(F.arrays_overlap(low(a), low(b)), F.lit(False))
+
+
+def known_values(fields: dict[str, bool]) -> Column:
+    """The values of the named fields in lower case, without nulls; the flag says which are arrays (SC37)."""
+    every = F.flatten(F.array(*[listed(F.col(k), many) for k, many in fields.items()]))
+    return F.transform(F.filter(every, lambda v: v.isNotNull()), lambda v: F.lower(v))
+
+
+def quantity(count: Column, factor: Column) -> Column:
+    """A quantity in base units; what is unknown or not positive counts as 1 (SC38)."""
+    real = lambda c: F.coalesce(F.when(c > 0, c.cast("double")), F.lit(1.0))
+    return real(count) * real(factor)
+
+
+def bigrams(c: Column) -> Column:
+    """Each two words in a row of a text (WN10)."""
+    w = tokens(c)
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda x, y: F.concat_ws(" ", x, y))
+
+
+def stub_embedding(c: Column, dims: int = 8) -> Column:
+    """A vector that follows from the text alone: each word counts in the dimension that its MD5 names (SC32)."""
+    slot = F.transform(tokens(c), lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dims)
+    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slot, lambda s: s == i)).cast("double"))
+
+
+def image_hash(raw: bytes) -> str:
+    """Bernstein's hash of bytes in 32 bits, as a key of what is cached for an image (SC29)."""
+    h = 5381
+    for byte in raw:
+        h = (h * 33 ^ byte) & 0xFFFFFFFF
+    return f"{h:08x}"

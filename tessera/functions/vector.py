@@ -27,8 +27,8 @@ def unit(a: Column) -> Column:
 
 
 def clamp(c: Column) -> Column:
-    """Between 0 and 1; null and not-a-number give 0 (SC23)."""
-    return F.when(F.isnan(c) | c.isNull(), 0.0).otherwise(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)))
+    """Between 0 and 1; null, not-a-number and the infinities give 0 (SC23)."""
+    return F.when(F.isnan(c) | c.isNull() | (F.abs(c) == float("inf")), 0.0).otherwise(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)))
 
 
 def recency(at: Column, as_of: Column, half_life_days: float) -> Column:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import half_up
+from tessera.functions.text import canonical, half_up
 
 
 def formula(text: str, most: int = 500, depth: int = 100) -> Column:
@@ -71,11 +71,11 @@ def unit_price(list_price: Column, markup: Column, brand_markup: Column, discoun
     return list_price * (1 + markup + brand_markup) * (1 - discount)
 
 
-def totals(lines: DataFrame, by: list[str], amount: str, discount: str, tax: float, digits: int = 2) -> DataFrame:
-    """``subtotal, discounts, tax, total`` of each quotation, rounded halves up (AG27)."""
-    out = lines.groupBy(*by).agg(F.sum(amount).alias("_s"), F.sum(discount).alias("_d"))
+def totals(lines: DataFrame, by: list[str], amount: str, discount: str, tax: float, digits: int = 2, lead: str | None = None) -> DataFrame:
+    """``subtotal, discounts, tax, total`` of each quotation, rounded halves up, and the longest lead time (AG27)."""
+    out = lines.groupBy(*by).agg(F.sum(amount).alias("_s"), F.sum(discount).alias("_d"), *([F.max(lead).alias("lead")] if lead else []))
     net = F.col("_s") - F.col("_d")
-    return out.select(*by, half_up(F.col("_s"), digits).alias("subtotal"), half_up(F.col("_d"), digits).alias("discounts"), half_up(net * tax, digits).alias("tax"), half_up(net * (1 + tax), digits).alias("total"))
+    return out.select(*by, half_up(F.col("_s"), digits).alias("subtotal"), half_up(F.col("_d"), digits).alias("discounts"), half_up(net * tax, digits).alias("tax"), half_up(net * (1 + tax), digits).alias("total"), *(["lead"] if lead else []))
 
 
 def compatible(pairs: dict[str, tuple[Column, Column]]) -> Column:
@@ -84,3 +84,49 @@ def compatible(pairs: dict[str, tuple[Column, Column]]) -> Column:
     for a, b in pairs.values():
         out = out & (a.isNull() | b.isNull() | (a == b))
     return out
+
+
+def when_matches(fields: dict[str, Column], when: dict[str, object], synonyms: dict[str, str] = {}) -> Column:  # noqa: B006
+    """Whether a rule's conditions hold: a value or one of a list, in canonical form (FLT26); a null field doesn't match."""
+    out = F.lit(True)
+    for name, wanted in when.items():
+        many = [canonical(F.lit(str(w)), synonyms) for w in (wanted if isinstance(wanted, list) else [wanted])]
+        out = out & F.coalesce(canonical(fields[name].cast("string"), synonyms).isin(*many), F.lit(False))
+    return out
+
+
+def rule_price(fields: dict[str, Column], rules: list[tuple[dict[str, object], str]], synonyms: dict[str, str] = {}) -> Column:  # noqa: B006
+    """The formula of the first rule that matches, over the fields that are numbers; null where none does (MD12, SC39)."""
+    out = F.when(F.lit(False), F.lit(None).cast("double"))
+    for when, text in rules:
+        out = out.when(when_matches(fields, when, synonyms), formula(text))
+    return out
+
+
+def best_break(quantity: Column, breaks: list[tuple[float, float]]) -> Column:
+    """The greatest discount of all quantity breaks ``(least, discount)`` that a quantity reaches, else 0 (WN12)."""
+    return F.greatest(F.lit(0.0), F.lit(0.0), *[F.when(quantity >= least, F.lit(float(d))).otherwise(0.0) for least, d in breaks])
+
+
+def priced(lines: DataFrame, parts: DataFrame, code: str, description: str) -> DataFrame:
+    """Lines with the catalogue's part of their code, else of their description in the same words, else null (JN20).
+
+    ``parts`` has ``code, description, list_price``; of parts that repeat one, the cheapest counts.
+    """
+    low = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    by = lambda c, name: parts.where(F.trim(F.col(c)) != "").groupBy(low(F.col(c)).alias(f"_{c}")).agg(F.min("list_price").alias(name))
+    rows = lines.withColumns({"_code": low(F.col(code)), "_description": low(F.col(description))})
+    out = rows.join(by("code", "_one"), "_code", "left").join(by("description", "_two"), "_description", "left")
+    how = F.when(F.col("_one").isNotNull(), "code").when(F.col("_two").isNotNull(), "description").otherwise("none")
+    return out.withColumns({"list_price": F.coalesce("_one", "_two"), "found_by": how}).drop("_code", "_description", "_one", "_two")
+
+
+def rollup(lines: DataFrame, kind: str, amount: str, cost: str, digits: int = 2) -> DataFrame:
+    """``kind, n, amount, cost, margin`` of each bucket of lines, rounded halves up (AG28, AG32)."""
+    out = lines.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.sum(amount).alias("_a"), F.sum(cost).alias("_c"))
+    return out.select("kind", "n", half_up(F.col("_a"), digits).alias("amount"), half_up(F.col("_c"), digits).alias("cost"), half_up(100 * F.try_divide(F.col("_a") - F.col("_c"), F.col("_a")), 1).alias("margin"))
+
+
+def hit_rate(rows: DataFrame, label: Column, rule: Column) -> DataFrame:
+    """``n, hit_rate``: how often a rule says what a label does; rows without a label don't count (AG32)."""
+    return rows.where(label.isNotNull()).agg(F.count("*").alias("n"), F.avg(F.coalesce((label == rule).cast("int"), F.lit(0))).alias("hit_rate"))

@@ -6,8 +6,12 @@ document's id, so that results don't depend on how rows are spread.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +30,12 @@ def ranked(scored: DataFrame, *order: Column, keep: int | None = None) -> DataFr
     return out.where(F.col("rank") <= keep) if keep else out
 
 
-def small(df: DataFrame, rows: int = BATCH) -> DataFrame:
-    """The frame marked for broadcast if it has few rows; counting stops beyond ``rows``."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BATCH, size: int = 64 << 20) -> DataFrame:
+    """The frame marked for broadcast if it has few rows and bytes; counting stops beyond ``rows``."""
+    if df.limit(rows + 1).count() > rows:
+        return df
+    bytes_ = df.select(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("n")).first().n or 0
+    return F.broadcast(df) if bytes_ <= size else df
 
 
 def lexical(docs: DataFrame, queries: DataFrame, keep: int = POOL) -> DataFrame:
@@ -44,19 +51,111 @@ def lexical(docs: DataFrame, queries: DataFrame, keep: int = POOL) -> DataFrame:
     return ranked(hits.withColumn("share", F.col("overlap") / F.col("asked")), F.desc("overlap"), keep=keep)
 
 
+def _nearest(parts: DataFrame, queries: DataFrame, keep: int, pool: int) -> DataFrame:
+    """``query_id, doc_id, cos`` of the documents that may be among the ``keep`` nearest, from each task's own best.
+
+    Every batch of vectors is multiplied with the matrix of all queries in numpy, and a task passes on only what is
+    among the ``pool`` best of its own documents for a query: what is shuffled grows with tasks and queries, not with
+    documents. Queries are collected within the bounds of :func:`small`; beyond them the caller joins instead. Vectors
+    of another length than a query's have no cosine with it, zero vectors have 0 with all.
+    """
+    rows = queries.select("query_id", "vec").where("vec is not null").collect()
+    kind = {f: df.schema[f].dataType.simpleString() for df, f in ((queries, "query_id"), (parts, "doc_id"))}
+    by_length: dict[int, tuple[list, np.ndarray]] = {}
+    for n in {len(r.vec) for r in rows}:
+        mine = [r for r in rows if len(r.vec) == n]
+        m = np.array([r.vec for r in mine], float)
+        by_length[n] = ([r.query_id for r in mine], m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))
+    sent = parts.sparkSession.sparkContext.broadcast(by_length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list] = {}
+
+        def trim(n: int) -> None:
+            """The ``pool`` best documents of each query, every document with its best vector."""
+            ids = pa.concat_arrays([b for b, _ in best[n]])
+            cos = np.concatenate([c for _, c in best[n]])
+            _, code = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)
+            keep_rows = np.zeros(len(ids), bool)
+            for q in range(cos.shape[1]):
+                order = np.lexsort((code, -cos[:, q]))
+                first = np.sort(np.unique(code[order], return_index=True)[1])[:pool]
+                keep_rows[order[first]] = True
+            at = np.flatnonzero(keep_rows)
+            best[n] = [(ids.take(pa.array(at)), cos[at])]
+
+        for b in batches:
+            length = b.column("vec").value_lengths().fill_null(0).to_numpy()
+            for n in sorted({*length.tolist()} & sent.value.keys()):
+                take = np.flatnonzero(length == n)
+                x = np.array(b.column("vec").take(pa.array(take)).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, n)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                best.setdefault(n, []).append((b.column("doc_id").take(pa.array(take)), x @ sent.value[n][1].T))
+                if sum(len(i) for i, _ in best[n]) > 20 * pool + 20_000:
+                    trim(n)
+        for n in best:
+            trim(n)
+            ids, cos = best[n][0]
+            names = pa.array(sent.value[n][0])
+            row, q = np.nonzero(~np.isnan(cos))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids.take(pa.array(row)), pa.array(cos[row, q])], ["query_id", "doc_id", "cos"])
+
+    out = parts.select("doc_id", "vec").mapInArrow(run, f"query_id {kind['query_id']}, doc_id {kind['doc_id']}, cos double")
+    return out.groupBy("query_id", "doc_id").agg(F.max("cos").alias("cos"))
+
+
 def vector(docs: DataFrame, queries: DataFrame, keep: int = POOL) -> DataFrame:
     """``query_id, doc_id, cos, rank`` of the nearest vectors of each query, exactly (TK1)."""
-    both = docs.select("doc_id", "vec").crossJoin(small(queries.select("query_id", F.col("vec").alias("wanted"))))
-    return ranked(both.select("query_id", "doc_id", cosine(F.col("vec"), F.col("wanted")).alias("cos")).where("cos is not null"), F.desc("cos"), keep=keep)
+    return evidence(docs, queries, keep)
 
 
-def evidence(parts: DataFrame, queries: DataFrame, keep: int = POOL) -> DataFrame:
-    """As :func:`vector` for documents of several vectors: the best of them counts (AG7)."""
-    both = parts.select("doc_id", "vec").crossJoin(small(queries.select("query_id", F.col("vec").alias("wanted"))))
+def evidence(parts: DataFrame, queries: DataFrame, keep: int = POOL, parents: DataFrame | None = None) -> DataFrame:
+    """As :func:`vector` for documents of several vectors: the best of them counts (AG7, TK3). With ``parents``, only
+    vectors of its documents are looked at (JN5)."""
+    if parents is not None:
+        parts = parts.join(parents.select("doc_id").distinct(), "doc_id", "left_semi")
+    if queries.limit(2001).count() <= 2000:
+        return ranked(_nearest(parts, queries, keep, keep), F.desc("cos"), keep=keep)
+    both = parts.select("doc_id", "vec").crossJoin(small(queries.select("query_id", F.col("vec").alias("wanted"))))  # queries against all rows
     best = both.select("query_id", "doc_id", cosine(F.col("vec"), F.col("wanted")).alias("cos")).groupBy("query_id", "doc_id").agg(F.max("cos").alias("cos"))
     return ranked(best.where("cos is not null"), F.desc("cos"), keep=keep)
 
 
+def covered(docs: DataFrame, queries: DataFrame, weights: dict[str, float], keep: int = POOL, sound: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``query_id, doc_id, whole, density, sounds, rank``: documents with all of a query's words first, then by how heavy the
+    words that they have are, then by words of the same sound (MD4, WN1, PRJ7).
+
+    ``weights`` names text columns of ``docs`` and how much a word counts there, of several the most; ``density`` is the
+    sum over the query's words. Words are joined, so documents meet only queries that they share one with.
+    """
+    words = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("tokens"))
+    asked = small(words.select("query_id", F.size("tokens").alias("asked"), F.explode("tokens").alias("token")))
+
+    def held(read: Callable[[Column], Column]) -> DataFrame:
+        each = F.flatten(F.array(*[F.transform(F.array_distinct(read(F.coalesce(F.col(c), F.lit("")))), lambda x, w=w: F.struct(x.alias("token"), F.lit(float(w)).alias("w"))) for c, w in weights.items()]))
+        return docs.select("doc_id", F.explode(each).alias("x")).groupBy("doc_id", "x.token").agg(F.max("x.w").alias("w"))
+
+    own = held(tokens).join(asked, "token").select("query_id", "doc_id", "asked", "w", F.lit(0).alias("s"))
+    if sound:
+        heard = asked.select("query_id", "asked", sound(F.col("token")).alias("token")).where("token <> ''").distinct()
+        own = own.unionByName(held(lambda c: F.filter(F.transform(tokens(c), sound), lambda x: x != "")).join(heard, "token").select("query_id", "doc_id", "asked", F.lit(0.0).alias("w"), F.lit(1).alias("s")))
+    hits = own.groupBy("query_id", "doc_id").agg((F.count_if(F.col("s") == 0) == F.max("asked")).alias("whole"), F.sum("w").alias("density"), F.sum("s").alias("sounds"))
+    return ranked(hits, F.desc("whole"), F.desc("density"), F.desc("sounds"), keep=keep)
+
+
+def counts(fused: DataFrame, least: float, queries: DataFrame) -> DataFrame:
+    """``query_id, candidates, eligible``: what retrieval found and what the floor lets through, for every query, those
+    without any hit too (AG9, JN3)."""
+    near = F.col("fts_rank").isNotNull() | F.coalesce(F.col("cos") >= least, F.lit(False))
+    n = fused.groupBy("query_id").agg(F.count("*").alias("candidates"), F.count_if(near).alias("eligible"))
+    return queries.select("query_id").distinct().join(n, "query_id", "left").na.fill(0, ["candidates", "eligible"])
+
+
+def attached(hits: DataFrame, docs: DataFrame, *fields: str) -> DataFrame:
+    """Hits with the fields of their documents, as a page shows them; a document that went since stays as nulls (JN2, PP22)."""
+    return hits.join(docs.select("doc_id", *fields), "doc_id", "left")
+
+
 def recent(candidates: DataFrame, dates: DataFrame, as_of: Column, half_life_days: float) -> DataFrame:
     """``query_id, doc_id, decay, rank`` of the candidates that have a date (WN4)."""
     dated = candidates.select("query_id", "doc_id").distinct().join(dates.select("doc_id", "at"), "doc_id").where("at is not null")
@@ -126,22 +225,36 @@ def coherence(hits: DataFrame, value: str, least: float = 0.5, top: int = 10, mi
     return known.join(share, "query_id", "left").where(F.col("anchored") | F.col("majority").isNull() | (F.col("majority") >= least)).drop("anchored", "majority")
 
 
-def diversify(hits: DataFrame, group: str) -> DataFrame:
-    """The best hit of each group of a query; hits without a group all stay (WN7)."""
-    first = F.row_number().over(Window.partitionBy("query_id", group).orderBy(F.desc("score"), F.asc("doc_id")))
+def diversify(hits: DataFrame, group: str, by: str | None = None) -> DataFrame:
+    """The best hit of each group of a query, by score or by the least of another column; hits without a group all stay (WN7)."""
+    first = F.row_number().over(Window.partitionBy("query_id", group).orderBy(F.asc(by) if by else F.desc("score"), F.asc("doc_id")))
     lone = F.col(group).isNull() | (F.col(group).cast("string") == "")
     return hits.withColumn("_nth", first).where(lone | (F.col("_nth") == 1)).drop("_nth")
 
 
-def policy(hits: DataFrame, available: Column, business: Column, newness: Column, weights: dict[str, float], floor_: float = 0.0, exponent: float = 1.0, bury: float = 0.2) -> DataFrame:
-    """Hits with ``policy_score``: relevance between the query's least and most, times availability, plus soft axes (MD9)."""
+def policy(hits: DataFrame, available: Column, business: Column, newness: Column, weights: dict[str, float], floor_: float = 0.0, exponent: float = 1.0, bury: float = 0.2, visual: Column | None = None, personal: Column | None = None, hard: tuple[str, ...] = ("availability",), burying: bool = True) -> DataFrame:
+    """Hits with ``policy_score``: relevance between the query's least and most, times hard axes, plus soft ones (MD9).
+
+    Availability and business may be hard: factors to the power of their weight. An unavailable hit has the factor
+    ``bury``, or 0 if nothing is buried; where availability isn't hard, it is buried by that factor all the same.
+    Newness, business, visual likeness and personal taste are soft and add up, all but taste between 0 and 1.
+    """
     w = Window.partitionBy("query_id")
     least, most = F.min("score").over(w), F.max("score").over(w)
     out = hits.withColumn("relevance", F.when(most > least, (F.col("score") - least) / (most - least)).otherwise(1.0)).where(F.col("relevance") >= floor_)
-    there = F.when(F.coalesce(available, F.lit(True)), 1.0).otherwise(bury)
-    hard = F.pow("relevance", F.lit(exponent * weights.get("relevance", 1.0))) * F.pow(there, F.lit(weights.get("availability", 0.2)))
-    soft = clamp(newness) * weights.get("newness", 0.0) + clamp(business) * weights.get("business", 0.0)
-    return out.withColumn("policy_score", hard + soft)
+    there = F.coalesce(available, F.lit(True))
+    product = F.pow("relevance", F.lit(exponent * weights.get("relevance", 1.0)))
+    if "availability" in hard:
+        product = product * F.pow(F.when(there, 1.0).otherwise(bury if burying else 0.0), F.lit(weights.get("availability", 0.2)))
+    elif burying:
+        product = product * F.when(there, 1.0).otherwise(bury)
+    if "business" in hard and weights.get("business", 0.0) > 0:
+        product = product * F.pow(clamp(business), F.lit(weights["business"]))
+    soft = {"newness": clamp(newness), "business": clamp(business), "visual": clamp(visual) if visual is not None else None, "personalization": F.coalesce(personal, F.lit(0.0)) if personal is not None else None}
+    for axis, value in soft.items():
+        if axis not in hard and value is not None and weights.get(axis):
+            product = product + value * weights[axis]
+    return out.withColumn("policy_score", product)
 
 
 def blend(hits: DataFrame, rerank: str, head: float = 0.75, mid: float = 0.6, tail: float = 0.4) -> DataFrame:
@@ -201,3 +314,43 @@ def ground(inputs: DataFrame, vocabulary: DataFrame, similarity, least: float =
     both = known.join(best, ["field", "input"], "left")
     how = F.when(F.col("_same").isNotNull(), "kept").when(F.col("_sim") >= least, "mapped").otherwise("dropped")
     return both.select("field", "input", F.when(how == "kept", F.col("_same")).when(how == "mapped", F.col("_near")).alias("value"), how.alias("how"))
+
+
+def reranked(hits: DataFrame, text: Column, judge: Callable[[str, list[str]], list[float | None]], queries: DataFrame, pool: int = 50) -> DataFrame:
+    """Hits with the ``place`` that an injected judge of ``(query, texts)`` gives the first ``pool`` of each query (SE9, MD14,
+    TK5, UD4); its grades are from 0 to 1, and null for what it can't judge.
+
+    Whatever it raises leaves that query in its first order. The pool bounds what one call sees.
+    """
+    head = hits.where(F.col("rank") <= pool).withColumn("_text", text).join(queries.select("query_id", F.col("text").alias("_query")), "query_id")
+    listed = head.groupBy("query_id", "_query").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "_text"))).alias("list"))
+    kind = {f: hits.schema[f].dataType.simpleString() for f in ("query_id", "doc_id")}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for q, asked, rows in zip(f["query_id"], f["_query"], f["list"]):
+                try:
+                    grades = judge(asked, [r["_text"] for r in rows])
+                    if len(grades) != len(rows):
+                        raise ValueError("a grade for each text")
+                except Exception:  # noqa: BLE001 - the first order stands
+                    grades = [None] * len(rows)
+                out += [(q, r["doc_id"], None if g is None else float(g)) for r, g in zip(rows, grades)]
+            yield pd.DataFrame(out, columns=["query_id", "doc_id", "_grade"])
+
+    graded = listed.mapInPandas(run, f"query_id {kind['query_id']}, doc_id {kind['doc_id']}, _grade double")
+    return blend(hits.join(graded, ["query_id", "doc_id"], "left"), "_grade").drop("_grade")
+
+
+def bag_search(docs: DataFrame, queries: DataFrame, keep: Column | None = None, k: int = 10) -> DataFrame:
+    """``query_id, doc_id, overlap, rank`` of the ``k`` documents that share most words, filtered first: the plain search
+    that evaluations compare with (SE22)."""
+    return lexical(docs if keep is None else docs.where(keep), queries, k).select("query_id", "doc_id", "overlap", "rank")
+
+
+def one_each(hits: DataFrame, *identity: str) -> DataFrame:
+    """The best hit of each product by its identity, title and brand for one, case and blanks aside (SE23)."""
+    key = F.concat_ws("|", *[F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in identity])
+    blank = F.regexp_replace(key, r"[|\s]", "") == ""
+    return diversify(hits.withColumn("_key", F.when(~blank, key)), "_key").drop("_key")

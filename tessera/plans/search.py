@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.predicates import condition, predicates, scoped, visible, where
@@ -80,17 +80,19 @@ class Result:
     hits: DataFrame
     facets: dict[str, DataFrame]
     relaxed: list[str]
+    relaxed_by: dict[Any, list[str]] = field(default_factory=dict)
 
 
 def run(docs: DataFrame, queries: DataFrame, of: Collection, request: Request, as_of: Column | None = None, half_life_days: float = 90.0) -> Result:
     """Searches ``docs`` (``doc_id, text, vec, updated_at`` and the fields) for ``queries`` (``query_id, text, vec``).
 
-    Legs, fusion, floor, cutoff (only where no filter applies), one hit of each group, the page. With fewer than
-    TARGET hits, derived soft filters are dropped one by one and the search is run again.
+    Legs, fusion, floor, cutoff (only where no filter applies), one hit of each group, the page. A query with fewer than
+    TARGET hits has derived soft filters dropped one by one and is searched for again; ``relaxed_by`` of the result tells
+    for each query which.
     """
     weights = leg_weights(of, request)
 
-    def hits(drop: list[str]) -> DataFrame:
+    def hits(drop: list[str], queries: DataFrame) -> DataFrame:
         rows = base(docs, of, request, drop)
         legs: dict[str, tuple[DataFrame, float]] = {}
         if weights.get("fts"):
@@ -110,16 +112,24 @@ def run(docs: DataFrame, queries: DataFrame, of: Collection, request: Request, a
         out = search.ranked(fused, F.desc("score"))
         return out if request.filters else search.score_drop(out)
 
-    order = relaxable(docs, of, request)
+    # Each query is relaxed for itself: those that still have too few hits go on with one filter less, all at once.
+    order, target = relaxable(docs, of, request), min(TARGET, request.limit)
     dropped: list[str] = []
-    if order:
-        dropped, _ = search.relax(lambda d: hits(d).limit(TARGET).count(), order, min(TARGET, request.limit))
-    page = hits(dropped)
+    page, relaxed = hits([], queries), {}
+    for name in order:
+        few = queries.select("query_id").join(page.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= target), "query_id", "left_anti")
+        ids = [r.query_id for r in few.collect()]  # of the batch of queries
+        if not ids:
+            break
+        dropped.append(name)
+        relaxed |= {i: list(dropped) for i in ids}
+        again = F.col("query_id").isin(ids)
+        page = page.where(~again).unionByName(hits(dropped, queries.where(again)), allowMissingColumns=True)
     if request.group:
-        page = search.diversify(page.join(docs.select("doc_id", request.group), "doc_id", "left"), request.group)
-    page = search.ranked(page.drop("rank"), F.desc("score")) if "rank" in page.columns and request.group else page
+        page = search.diversify(page.join(docs.select("doc_id", request.group), "doc_id", "left"), request.group, by="rank")
+        page = page.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "doc_id")))
     page = page.where((F.col("rank") > request.offset) & (F.col("rank") <= request.offset + request.limit))
-    return Result(page, query_facets(base(docs, of, request, dropped), of, request.facets), dropped)
+    return Result(page, query_facets(base(docs, of, request, dropped), of, request.facets), dropped, relaxed)
 
 
 def query_facets(rows: DataFrame, of: Collection, names: tuple[str, ...]) -> dict[str, DataFrame]:

@@ -365,52 +365,6 @@ def content_hash(spark, folder):
     return t(spark, folder, "documents").select("doc_id", X.content_hash(F.col("text"), F.col("lang"), F.col("source")).alias("hash"))
 
 
-# Matching: each customer is looked for among the suppliers of its nation.
-
-_PEOPLE = (
-    f"s AS (SELECT c_custkey AS query_id, s_suppkey AS entity_id, {_similar('c_name', 's_name')} AS trgm, (right(c_name, 2) = right(s_name, 2)) AS phone, s_suppkey % 3 AS ok, s_suppkey % 4 AS no FROM customer JOIN supplier ON c_nationkey = s_nationkey),"
-    " m AS (SELECT *, exp(-0.5 * greatest(no - ok, 0)) * (1 - (1 - 1.0 * (CASE WHEN phone THEN 1.0 ELSE 0.0 END)::DOUBLE) * (1 - 0.25 * greatest(trgm, 0)) * (1 - 0.4 * greatest(1 / (1 + exp(-(ok - no))) - 0.5, 0) * 2)) AS combined FROM s)"
-)
-
-
-@query(f"WITH {_PEOPLE} SELECT query_id, entity_id, round(combined, 6) AS combined, CASE WHEN combined >= 0.92 THEN 'auto' WHEN combined >= 0.54 THEN 'suggest' ELSE 'none' END AS decision FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, entity_id) AS nth FROM m) WHERE nth <= 3")
-def match_people(spark, folder):
-    c = t(spark, folder, "customer").select(F.col("c_custkey").alias("query_id"), "c_name", F.col("c_nationkey").alias("scope"))
-    s = t(spark, folder, "supplier").select(F.col("s_suppkey").alias("entity_id"), "s_name", F.col("s_nationkey").alias("scope"))
-    ok, no = F.col("entity_id") % 3, F.col("entity_id") % 4
-    phone = F.when(F.right("c_name", F.lit(2)) == F.right("s_name", F.lit(2)), 1.0).otherwise(0.0)
-    score = resolve.decline_factor(ok, no) * resolve.noisy_or((1.0, phone), (0.25, X.trigram_similarity(F.col("c_name"), F.col("s_name"))), (0.4, resolve.alias_score(ok, no)))
-    scored = c.join(s, "scope").select("query_id", "entity_id", score.alias("combined"))
-    return resolve.best_of(scored, "query_id", "combined", "entity_id", 3).select("query_id", "entity_id", F.round("combined", 6).alias("combined"), resolve.decision(F.col("combined")).alias("decision"))
-
-
-# Assets: a part is matched with parts of its size and type, with brand and size gates.
-
-
-@query(
-    f"WITH a AS (SELECT DISTINCT p_name AS name, p_brand AS brand, p_size AS size FROM part), s AS (SELECT p_partkey AS query_id, a.name || '/' || a.brand AS entity_id, least(coalesce(1 - (1 - 0.9 * {_similar('p_name', 'a.name')}), 0) * CASE WHEN lower(p_brand) = lower(a.brand) THEN 1.3 ELSE 0.2 END, 1.0) AS combined FROM part JOIN a ON p_size = a.size)"
-    " SELECT query_id, entity_id, round(combined, 6) AS combined FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, entity_id) AS nth FROM s) WHERE nth = 1"
-)
-def match_asset(spark, folder):
-    p = t(spark, folder, "part")
-    a = p.select(F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size")).distinct()
-    score = resolve.gated(resolve.noisy_or((0.9, X.trigram_similarity(F.col("p_name"), F.col("name")))), F.col("brand"), F.col("p_brand"))
-    scored = p.join(a, p["p_size"] == a["size"]).select(F.col("p_partkey").alias("query_id"), F.concat_ws("/", "name", "brand").alias("entity_id"), score.alias("combined"))
-    return resolve.best_of(scored, "query_id", "combined", "entity_id").select("query_id", "entity_id", F.round("combined", 6).alias("combined"))
-
-
-@query(
-    "WITH e AS (SELECT s_suppkey AS entity_id, round(s_acctbal) AS phone, right(s_name, 9) AS name, s_nationkey AS nation FROM supplier), q AS (SELECT c_custkey AS query_id, round(c_acctbal) AS phone, right(c_name, 9) AS name, c_nationkey AS nation FROM customer),"
-    " w AS (SELECT query_id, 0 AS wave, entity_id, 'phone' AS method FROM q JOIN e ON q.phone = e.phone UNION ALL SELECT query_id, 1, entity_id, 'name' FROM q JOIN e ON q.name = e.name UNION ALL SELECT query_id, 2, min(entity_id), 'nation' FROM q JOIN e ON q.nation = e.nation GROUP BY query_id HAVING count(DISTINCT entity_id) = 1)"
-    " SELECT query_id, entity_id, method FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY wave, entity_id) AS nth FROM w) WHERE nth = 1"
-)
-def match_batch_waves(spark, folder):
-    side = lambda df, k, n, b, c, as_: df.select(F.col(k).alias(as_), F.round(b).alias("phone"), F.right(n, F.lit(9)).alias("name"), F.col(c).alias("nation"))
-    e = side(t(spark, folder, "supplier"), "s_suppkey", "s_name", "s_acctbal", "s_nationkey", "entity_id")
-    q = side(t(spark, folder, "customer"), "c_custkey", "c_name", "c_acctbal", "c_nationkey", "query_id")
-    return resolve.waves(q, [("phone", e, ["phone"], False), ("name", e, ["name"], False), ("nation", e, ["nation"], True)])
-
-
 # Duplicates: pairs of near vectors, and what is made of them.
 
 _PAIRS = f"p AS (SELECT x.vec_id AS a, y.vec_id AS b, {_COS.format('x.embedding', 'y.embedding')} AS cos FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE {_COS.format('x.embedding', 'y.embedding')} >= 0.4)"
@@ -449,12 +403,6 @@ def dedup_best_edge(spark, folder):
     return dedup.best_edges(_scored(spark, folder)).select("id", "candidate", F.round("score", 6).alias("score"))
 
 
-@query()
-def dedup_clusters_greedy(spark, folder):
-    records = t(spark, folder, "embeddings").select(F.lit("all").alias("scope"), F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"))
-    return dedup.greedy(records, dedup.best_edges(_scored(spark, folder)), 0.5, 0.3)
-
-
 @query(f"WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS node, b AS root FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.root = e.a) SELECT node, least(node, min(root)) AS root FROM r GROUP BY node")
 def components(spark, folder):
     return dedup.components(_pairs(spark, folder))
@@ -575,11 +523,6 @@ def attr_prf(spark, folder):
     return out.select("attribute", *[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")], *[F.round(c, 6).alias(c) for c in ("p", "r", "f1")])
 
 
-@query("SELECT count(*) AS n, quantile_disc(value, 0) AS least FROM events WHERE value IS NOT NULL")
-def latency_percentile(spark, folder):
-    return metrics.lower_percentile(t(spark, folder, "events"), F.col("value"), 0).select("n", F.col("value").alias("least"))
-
-
 @query(
     "WITH l AS (SELECT l_orderkey, l_quantity * p_retailprice * (1 + 0.1 + CASE WHEN p_brand = 'Brand#2' THEN 0.05 ELSE 0 END) AS amount, CASE WHEN l_quantity >= 40 THEN 0.08 WHEN l_quantity >= 20 THEN 0.03 ELSE 0 END AS d FROM lineitem JOIN part ON p_partkey = l_partkey), s AS (SELECT l_orderkey, sum(amount) AS s, sum(amount * d) AS d FROM l GROUP BY 1)"
     " SELECT l_orderkey, round(s + 1e-5, 1) AS subtotal, round(d + 1e-5, 1) AS discounts, round((s - d) * 1.18 + 1e-5, 1) AS total FROM s"

@@ -10,14 +10,14 @@ from pyspark.sql import types as T
 
 from tessera.functions.text import content_hash, strip_html
 
-_SHOPIFY = "products array<struct<id:bigint,title:string,handle:string,body_html:string,vendor:string,product_type:string,tags:array<string>,variants:array<struct<price:string,available:boolean>>,images:array<struct<src:string>>>>"
+_SHOPIFY = "products array<struct<id:bigint,title:string,handle:string,body_html:string,vendor:string,product_type:string,tags:string,variants:array<struct<price:string,available:boolean>>,images:array<struct<src:string>>>>"
 _WOO = "array<struct<id:bigint,name:string,permalink:string,description:string,is_in_stock:boolean,prices:struct<price:string,currency_minor_unit:int,currency_code:string>,categories:array<struct<name:string>>,images:array<struct<src:string>>>>"
 
 
 def _documents(rows: DataFrame, key: Column) -> DataFrame:
     """Rows of fields as ``id, data, content_hash``; those without an id or title drop out (SRC1)."""
     data = F.struct(*rows.columns)
-    hashed = content_hash(*[F.col(c) if c in rows.columns else F.lit(None) for c in ("title", "description", "price", "image", "available", "type")])
+    hashed = content_hash(*[F.col(c) if c in rows.columns else F.lit(None) for c in ("title", "description", "price", "image", "available", "type")], F.array_join("tags", ",") if "tags" in rows.columns else F.lit(None))
     return rows.select(key.cast("string").alias("id"), F.to_json(data).alias("data"), hashed.alias("content_hash"), F.col("title").alias("_title")).where("id is not null and _title is not null").drop("_title")
 
 
@@ -33,7 +33,13 @@ def lines(rows: DataFrame) -> DataFrame:
     key, data = F.coalesce(at("$.id"), at("$.data.external_id")), at("$.data")
     out = rows.select(key.alias("id"), data.alias("data"), at("$.data.title").alias("_title")).where("id is not null and _title is not null").drop("_title")
     part = lambda p: F.get_json_object("data", f"$.{p}")
-    return out.withColumn("content_hash", content_hash(*[part(p) for p in ("title", "description", "price", "image", "available", "type")]))
+    return out.withColumn("content_hash", content_hash(*[part(p) for p in ("title", "description", "price", "image", "available", "type", "tags")]))
+
+
+def _tags(c: Column) -> Column:
+    """Tags as an array, given as one or as one text with commas (PRJ11); blank ones drop out."""
+    many = F.coalesce(F.when(F.startswith(F.trim(c), F.lit("[")), F.from_json(c, "array<string>")), F.split(c, ","))
+    return F.filter(F.transform(many, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def shopify(pages: DataFrame, shop: str) -> DataFrame:
@@ -45,7 +51,7 @@ def shopify(pages: DataFrame, shop: str) -> DataFrame:
         strip_html(F.col("p.body_html")).alias("description"),
         F.col("p.vendor").alias("brand"),
         F.col("p.product_type").alias("type"),
-        F.col("p.tags").alias("tags"),
+        _tags(F.col("p.tags")).alias("tags"),
         F.get("p.variants", F.lit(0))["price"].try_cast("double").alias("price"),
         F.coalesce(F.exists("p.variants", lambda v: v["available"]), F.lit(False)).alias("available"),
         F.get("p.images", F.lit(0))["src"].alias("image"),
