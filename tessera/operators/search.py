@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.text import tokens
 from tessera.functions.vector import clamp, cosine, recency
@@ -61,11 +62,11 @@ def _nearest(parts: DataFrame, queries: DataFrame, keep: int, pool: int) -> Data
     """
     rows = queries.select("query_id", "vec").where("vec is not null").collect()
     kind = {f: df.schema[f].dataType.simpleString() for df, f in ((queries, "query_id"), (parts, "doc_id"))}
-    by_length: dict[int, tuple[list, np.ndarray]] = {}
+    by_length: dict[int, tuple[pa.Array, np.ndarray]] = {}
     for n in {len(r.vec) for r in rows}:
         mine = [r for r in rows if len(r.vec) == n]
         m = np.array([r.vec for r in mine], float)
-        by_length[n] = ([r.query_id for r in mine], m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))
+        by_length[n] = (pa.array([r.query_id for r in mine], to_arrow_type(queries.schema["query_id"].dataType)), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))
     sent = parts.sparkSession.sparkContext.broadcast(by_length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,9 +97,8 @@ def _nearest(parts: DataFrame, queries: DataFrame, keep: int, pool: int) -> Data
         for n in best:
             trim(n)
             ids, cos = best[n][0]
-            names = pa.array(sent.value[n][0])
             row, q = np.nonzero(~np.isnan(cos))
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids.take(pa.array(row)), pa.array(cos[row, q])], ["query_id", "doc_id", "cos"])
+            yield pa.RecordBatch.from_arrays([sent.value[n][0].take(pa.array(q)), ids.take(pa.array(row)), pa.array(cos[row, q])], ["query_id", "doc_id", "cos"])
 
     out = parts.select("doc_id", "vec").mapInArrow(run, f"query_id {kind['query_id']}, doc_id {kind['doc_id']}, cos double")
     return out.groupBy("query_id", "doc_id").agg(F.max("cos").alias("cos"))
