@@ -96,3 +96,14 @@ def visible() -> Column:
 def verdicts(wanted: dict[str, Column]) -> Column:
     """For each named condition ``satisfied``, ``violated`` or, where it is null, ``unknown`` (FLT20)."""
     return F.create_map(*[x for name, c in wanted.items() for x in (F.lit(name), F.when(c.isNull(), "unknown").when(c, "satisfied").otherwise("violated"))])
+
+
+def blocked(columns: list[str], terms: list[str]) -> Column:
+    """Whether any of the texts has one of the terms as whole words, case aside (FLT20); null texts have none."""
+    text = F.concat_ws(" | ", *[F.col(c).cast("string") for c in columns])
+    return reduce(lambda a, b: a | b, [text.rlike(rf"(?i)(?<![\p{{L}}\p{{N}}]){java_quoted(t)}(?![\p{{L}}\p{{N}}])") for t in terms], F.lit(False))
+
+
+def strict(verdict: Column) -> Column:
+    """Whether all verdicts of a map are ``satisfied``; lenient callers ask that none is ``violated`` (FLT20)."""
+    return F.forall(F.map_values(verdict), lambda v: v == "satisfied")

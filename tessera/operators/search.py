@@ -132,7 +132,11 @@ def covered(docs: DataFrame, queries: DataFrame, weights: dict[str, float], keep
     asked = small(words.select("query_id", F.size("tokens").alias("asked"), F.explode("tokens").alias("token")))
 
     def held(read: Callable[[Column], Column]) -> DataFrame:
-        each = F.flatten(F.array(*[F.transform(F.array_distinct(read(F.coalesce(F.col(c), F.lit("")))), lambda x, w=w: F.struct(x.alias("token"), F.lit(float(w)).alias("w"))) for c, w in weights.items()]))
+        def of(c: str) -> Column:
+            weight = F.lit(float(weights[c])).alias("w")
+            return F.transform(F.array_distinct(read(F.coalesce(F.col(c), F.lit("")))), lambda x: F.struct(x.alias("token"), weight))
+
+        each = F.flatten(F.array(*map(of, weights)))
         return docs.select("doc_id", F.explode(each).alias("x")).groupBy("doc_id", "x.token").agg(F.max("x.w").alias("w"))
 
     own = held(tokens).join(asked, "token").select("query_id", "doc_id", "asked", "w", F.lit(0).alias("s"))

@@ -94,10 +94,41 @@ def project(docs: DataFrame, of: Collection) -> DataFrame:
 
 def template(text: str) -> Column:
     """``"$title by $brand"`` as a Column over the named fields: arrays joined, blanks collapsed (PRJ5)."""
-    parts = [F.coalesce(F.col(p[1:]).cast("string"), F.lit("")) if p.startswith("$") else F.lit(p) for p in re.split(r"(\$[a-zA-Z_][a-zA-Z0-9_]*)", text) if p]
+    parts = [F.coalesce(F.col(p[1:]).cast("string"), F.lit("")) if p.startswith("$") else F.lit(p) for p in re.split(r"(\$[a-zA-Z_][a-zA-Z0-9_]*(?:\.[a-zA-Z_][a-zA-Z0-9_]*)*)", text) if p]
     return F.trim(F.regexp_replace(F.concat(*parts), r"\s+", " "))
 
 
+def source(expression: str) -> Column:
+    """A source expression (PRJ6): a template if it has a ``$``, else names with bars between, of which the first that is
+    neither null nor blank counts."""
+    return template(expression) if "$" in expression else first_filled(*[F.col(p.strip()).cast("string") for p in expression.split("|")])
+
+
+def default_surfaces(of: Collection, text: str | None = None) -> dict[str, Column]:
+    """``doc`` from a template, else from all searchable fields; ``heavy`` and ``light`` text for ranking by words: the first
+    searchable field, which names the thing, and the others (PRJ7)."""
+    names = [f.name for f in of.fields.values() if f.searchable]
+    join = lambda ns: F.trim(F.regexp_replace(F.concat_ws(" ", *[F.concat_ws(" ", F.col(n)) if of.fields[n].is_array else F.col(n).cast("string") for n in ns]), r"\s+", " "))
+    return {"doc": template(text) if text else join(names), "heavy": join(names[:1]), "light": join(names[1:])}
+
+
+def dedup_settings(of: Collection, given: dict) -> dict:
+    """Settings of deduplication, checked (PP18): channels with a weight above 0 on fields that are there, and thresholds
+    in order."""
+    channels = given.get("channels") or {}
+    for name, weight in channels.items():
+        if name.split(":")[-1] not in {*of.fields, "cosine"} or not weight > 0:
+            raise RequestError(f"dedup: channel {name} needs a field and a weight above 0")
+    if (key := given.get("exact_key")) is not None and key not in of.fields:
+        raise RequestError(f"dedup: no field {key}")
+    if not channels and key is None:
+        raise RequestError("dedup: neither channels nor an exact key")
+    auto, suggest = given.get("auto", 0.7), given.get("suggest", 0.4)
+    if not 0 <= suggest <= auto <= 1:
+        raise RequestError("dedup: thresholds must be 0 <= suggest <= auto <= 1")
+    return {"channels": dict(channels), "exact_key": key, "auto": auto, "suggest": suggest}
+
+
 def first_filled(*columns: Column) -> Column:
     """The first that is neither null nor blank (PRJ6)."""
     return F.coalesce(*[F.when(F.trim(c) != "", c) for c in columns])

@@ -523,18 +523,6 @@ def attr_prf(spark, folder):
     return out.select("attribute", *[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")], *[F.round(c, 6).alias(c) for c in ("p", "r", "f1")])
 
 
-@query(
-    "WITH l AS (SELECT l_orderkey, l_quantity * p_retailprice * (1 + 0.1 + CASE WHEN p_brand = 'Brand#2' THEN 0.05 ELSE 0 END) AS amount, CASE WHEN l_quantity >= 40 THEN 0.08 WHEN l_quantity >= 20 THEN 0.03 ELSE 0 END AS d FROM lineitem JOIN part ON p_partkey = l_partkey), s AS (SELECT l_orderkey, sum(amount) AS s, sum(amount * d) AS d FROM l GROUP BY 1)"
-    " SELECT l_orderkey, round(s + 1e-5, 1) AS subtotal, round(d + 1e-5, 1) AS discounts, round((s - d) * 1.18 + 1e-5, 1) AS total FROM s"
-)
-def price_quote(spark, folder):
-    lines = t(spark, folder, "lineitem").join(t(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    amount = F.col("l_quantity") * pricing.unit_price(F.col("p_retailprice"), F.lit(0.1), pricing.first_rule([(F.col("p_brand") == "Brand#2", F.lit(0.05))], F.lit(0.0)), F.lit(0.0))
-    rate = pricing.first_rule([(F.col("l_quantity") >= 40, F.lit(0.08)), (F.col("l_quantity") >= 20, F.lit(0.03))], F.lit(0.0))
-    priced = lines.select("l_orderkey", amount.alias("amount"), (amount * rate).alias("discount"))
-    return pricing.totals(priced, ["l_orderkey"], "amount", "discount", 0.18, 8).select("l_orderkey", *[F.round(F.col(c) + 1e-5, 1).alias(c) for c in ("subtotal", "discounts", "total")])
-
-
 @query("SELECT p_partkey, round(p_retailprice * (1 + 0.15) - p_size / 4, 6) AS price FROM part")
 def price_formula(spark, folder):
     return t(spark, folder, "part").select("p_partkey", F.round(pricing.formula("p_retailprice * (1 + .15) - p_size / 4"), 6).alias("price"))
