@@ -1,13 +1,11 @@
-"""Byte-pair encoding of a corpus in which each distinct word is encoded once, and decoding.
+"""Byte-pair encoding of a corpus by its distinct words, and decoding.
 
 Spark splits texts into words by the tokenizer's own pattern and counts the distinct ones; a table gives each word that
-occurs more than once its ids. Ids go back to the words' positions in three ways that together cover every word:
+occurs more than once its ids. Ids go back to the words' positions in two ways that together cover every word:
 
-* the most frequent words, up to ``HEAD_BYTES`` of table, are looked up where the text is, and travel as one number;
-* other words of the table are joined by word and put in at their positions;
-* a word that occurs once in the corpus is encoded where it stands. A Bloom filter of the joined words tells: what
-  isn't in it occurs once. What it lets pass by mistake goes through the join, finds nothing there and is encoded
-  after it. The filter has a bound (``FILTER``); where it is too small, more words go through the join.
+* the most frequent words, up to ``HEAD_BYTES`` of table, are looked up where the text is;
+* other words are encoded where they stand, each distinct one once in a batch of half a million words or more. To bring
+  their ids from the table would take a shuffle of each place where they are, and their share grows with the corpus.
 
 Decoding looks each id up in the table of pieces, whose size is that of the vocabulary.
 """
@@ -25,15 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.shared import Written, documents, release
-from tessera.llm.tokens import _BASE, _INVERSE, U64, _powers, flat, mix
 
 #: The pattern of the byte-level vocabularies; their ids are below 65,536.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes of words and ids that are looked up without a shuffle, whatever the corpus' size.
 HEAD_BYTES = 16 << 20
-#: Most 64-bit words of the Bloom filter, and bits for each word in it.
-FILTER, FILTER_BITS = 1 << 21, 16
+#: Words of which the ids are put together at a time; a longer text comes alone and whole.
+LOT = 1 << 20
 
 
 def ranks(vocabulary: str) -> dict[bytes, int]:
@@ -43,9 +40,9 @@ def ranks(vocabulary: str) -> dict[bytes, int]:
 
 
 def _words(docs: DataFrame) -> DataFrame:
-    """``key, doc_id, version, words``; a null text has null words."""
+    """``doc_id, version, words``; a null text has null words."""
     texts = documents(docs, "doc_id", "text")
-    return texts.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.xxhash64("text").alias("version"), F.regexp_extract_all("text", F.lit(f"(?U){PATTERN}"), F.lit(0)).alias("words"))
+    return texts.select("doc_id", F.xxhash64("text").alias("version"), F.regexp_extract_all("text", F.lit(f"(?U){PATTERN}"), F.lit(0)).alias("words"))
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], least: int = 1 << 19) -> Iterator[pa.RecordBatch]:
@@ -60,34 +57,6 @@ def _gathered(batches: Iterator[pa.RecordBatch], least: int = 1 << 19) -> Iterat
         yield pa.concat_batches(held)
 
 
-def _packed(a: np.ndarray) -> bytes:
-    """Numbers byte by byte, low ones first, compressed."""
-    return pa.compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes(), "zstd", asbytes=True) if len(a) else b""
-
-
-def _unpacked(packed: bytes, n: int, kind: type) -> np.ndarray:
-    if not n:
-        return np.zeros(0, kind)
-    flat = pa.decompress(packed, n * np.dtype(kind).itemsize, "zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(-1, n).T).view(kind).ravel()
-
-
-def _hashes(words: pa.Array) -> np.ndarray:
-    """64 mixed bits of each word's bytes."""
-    data, offsets = flat(words)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * _powers(_BASE, len(data)), out=total[1:])
-    return mix((total[offsets[1:]] - total[offsets[:-1]]) * _powers(_INVERSE, len(data) + 1)[offsets[:-1]])
-
-
-def _bits(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The place in a filter of ``size`` 64-bit words (a power of two), and four bits there."""
-    bits = np.zeros(len(h), U64)
-    for shift in (40, 46, 52, 58):
-        bits |= U64(1) << ((h >> U64(shift)) & U64(63))
-    return (h & U64(size - 1)).astype(np.int64), bits
-
-
 def _encoder(table: dict[bytes, int]):
     import tiktoken
 
@@ -126,114 +95,50 @@ def _head(table: DataFrame, most: int) -> Column:
     return F.lit(False) if least is None else step >= least
 
 
-def _filter(words: DataFrame, most: int = FILTER) -> np.ndarray:
-    """A Bloom filter of the words of a table, of at most ``most`` 64-bit words."""
-    size = 1 << 10
-    n = words.count()
-    while size < most and size * 64 < n * FILTER_BITS:
-        size *= 2
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, mask = _bits(_hashes(b.column("word")), size)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mask.view(np.int64))], ["at", "mask"])
-
-    out = np.zeros(size, U64)
-    rows = words.select("word").mapInArrow(bits, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out[rows.column("at").to_numpy()] = rows.column("mask").to_numpy().view(U64)
-    return out
-
-
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, head_bytes: int = HEAD_BYTES, filter_words: int = FILTER) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, head_bytes: int = HEAD_BYTES, filter_words: int = 0) -> DataFrame:
     """``doc_id, version, ids``: the ids of each whole text, as the tokenizer itself gives them.
 
     ``version`` is a hash of the text. An empty text has no ids, a null text null; strings of special tokens are
     ordinary text. Rows with a null id are left out; repeated rows give repeated results. Other columns don't matter.
+    ``filter_words`` has no effect any more: no word is joined.
     """
     spark = docs.sparkSession
     pieces = ranks(vocabulary)
-    table = Written(word_table(docs, vocabulary, 2)).df
+    table = Written(word_table(docs, vocabulary, 2))
     release(spark)
-    is_head = _head(table, head_bytes)
-    rows = table.where(is_head).select("word", "ids", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")]).drop_columns("n").combine_chunks()
+    rows = table.df.where(_head(table.df, head_bytes)).select("word", "ids", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")]).drop_columns("n").combine_chunks()
+    table.drop()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema) as writer:
         writer.write_table(rows)
-    rest = table.where(~is_head).select("word", "ids")
-    sent = spark.sparkContext.broadcast((sink.getvalue().to_pybytes(), _filter(rest, filter_words)))
-
-    def head() -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        known = pa.ipc.open_stream(sent.value[0]).read_all().combine_chunks()
-        word, ids = (known.column(c).chunk(0) if known.num_rows else pa.array([], known.schema.field(c).type) for c in ("word", "ids"))
-        return word, ids.value_lengths().to_numpy().astype(np.int64), ids.flatten().to_numpy()
+    sent = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``codes``: for each word 2 and its place in the head, 1 for one encoded here (``own``: number of ids, ids), 0
-        for one to join (``rare``)."""
-        word, seen, encode_ = head()[0], sent.value[1], _encoder(pieces)
+        known, encode_ = pa.ipc.open_stream(sent.value).read_all().combine_chunks(), _encoder(pieces)
+        word, head = (known.column(c).chunk(0) if known.num_rows else pa.array([], known.schema.field(c).type) for c in ("word", "ids"))
+        head_length, head_ids = head.value_lengths().to_numpy(), head.flatten().to_numpy()
         for b in _gathered(batches):
             lists = b.column("words")
             flat_ = lists.flatten()
-            code = (pc.fill_null(pc.index_in(flat_, value_set=word), -2).to_numpy() + 2).astype(np.uint32)
-            other = np.flatnonzero(code == 0)
-            at, mask = _bits(_hashes(flat_.take(pa.array(other))), len(seen))
-            code[other] = (seen[at] & mask) != mask
-            words = np.append(0, np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy()))
-            once, join = np.flatnonzero(code == 1), np.flatnonzero(code == 0)
-            made = [np.array([len(i), *i], np.uint32) for i in map(encode_, flat_.take(pa.array(once)).to_pylist())]
-            cut = np.searchsorted(once, words).tolist()
-            own = [np.concatenate(made[i:j]).tobytes() if j > i else b"" for i, j in zip(cut, cut[1:])]
-            offsets = pa.array(np.searchsorted(join, words).astype(np.int32))
-            codes = [_packed(code[i:j]) for i, j in zip(words.tolist(), words[1:].tolist())]
-            n = pa.array(np.diff(words).astype(np.int32), mask=lists.is_null().to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), b.column("version"), n, pa.array(codes, pa.binary()), pa.array(own, pa.binary()), pa.ListArray.from_arrays(offsets, flat_.take(pa.array(join)))], ["key", "doc_id", "version", "n", "codes", "own", "rare"])
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            size = b.column("rare").value_lengths().to_numpy()
-            nth = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(np.repeat(np.arange(b.num_rows), size))), pa.array(nth.astype(np.int32)), b.column("rare").flatten()], ["key", "nth", "word"])
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (_, length, ids), encode_ = head(), _encoder(pieces)
-        start = np.cumsum(length) - length
-        for b in batches:
-            out = []
-            for n, codes, own, rare, put in zip(*(b.column(c).to_pylist() for c in ("n", "codes", "own", "rare", "put"))):
-                if n is None:
-                    out.append(None)
-                    continue
-                code = _unpacked(codes, n, np.uint32).astype(np.int64)
-                known, size = code >= 2, np.zeros(n, np.int64)
-                size[known] = length[code[known] - 2]
-                parts: dict[int, np.ndarray] = {}
-                if own:
-                    made, at = np.frombuffer(own, np.uint32), 0
-                    for i in np.flatnonzero(code == 1).tolist():
-                        parts[i] = made[at + 1 : at + 1 + int(made[at])]
-                        at += 1 + len(parts[i])
-                if rare:
-                    joined = {p["nth"]: p["ids"] for p in put or ()}
-                    for nth, i in enumerate(np.flatnonzero(code == 0).tolist()):
-                        parts[i] = np.array(joined[nth] if nth in joined else encode_(rare[nth]), np.int32)
-                for i, x in parts.items():
-                    size[i] = len(x)
-                end = np.cumsum(size)
-                whole = np.zeros(int(end[-1]) if n else 0, np.int32)
-                m = size[known]
-                if len(m):
-                    inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-                    whole[np.repeat((end - size)[known], m) + inner] = ids[np.repeat(start[code[known] - 2], m) + inner]
-                for i, x in parts.items():
-                    whole[end[i] - size[i] : end[i]] = x
-                out.append(whole)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("version"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "version", "ids"])
-
-    # One shuffle, read for the rare words and again for the join; the plans must ask for the same columns for that.
-    placed = _words(docs).mapInArrow(place, "key long, doc_id long, version long, n int, codes binary, own binary, rare array<string>").repartition("key")
-    tail = placed.mapInArrow(spread, "key long, nth int, word string").join(rest, "word")
-    put = tail.groupBy("key").agg(F.array_distinct(F.collect_list(F.struct("nth", "ids"))).alias("put"))
-    return placed.join(put, "key", "left").mapInArrow(fill, "doc_id long, version long, ids array<int>")
+            code = pc.fill_null(pc.index_in(flat_, value_set=word), -1).to_numpy().astype(np.int64)
+            other = np.flatnonzero(code < 0)
+            distinct = flat_.take(pa.array(other)).dictionary_encode()
+            code[other] = distinct.indices.to_numpy() + len(word)
+            made = [np.array(encode_(x), np.int32) for x in distinct.dictionary.to_pylist()]
+            length = np.concatenate([head_length, np.array([len(x) for x in made], np.int64)]).astype(np.int64)
+            ids, start = np.concatenate([head_ids, *made]), np.cumsum(length) - length
+            first = np.append(0, np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy()))
+            none = lists.is_null().to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(first[:-1] // LOT)) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts, cuts[1:]):
+                part = code[first[i] : first[j]]
+                size = length[part]
+                ends = np.append(0, np.cumsum(size))
+                whole = ids[np.repeat(start[part] - ends[:-1], size) + np.arange(ends[-1])]
+                offsets = pa.array(ends[first[i : j + 1] - first[i]].astype(np.int32), mask=np.append(none[i:j], False))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("version").slice(i, j - i), pa.ListArray.from_arrays(offsets, pa.array(whole, pa.int32()))], ["doc_id", "version", "ids"])
+
+    return _words(docs).mapInArrow(place, "doc_id long, version long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

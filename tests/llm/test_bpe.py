@@ -36,3 +36,13 @@ def test_each_word_once_and_exact(spark):
 
 def test_empty_table(spark):
     assert encode_and_check(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_words_beyond_the_head_take_no_shuffle(spark):
+    """Long texts of words that the head lacks: their places are neither shuffled nor joined, however many there are."""
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks(VOCABULARY), special_tokens={})
+    rows = [(i, " ".join(f"w{j * 7919 % 20_011}" for j in range(20_000))) for i in range(2)] + [(2, None), (3, "")]
+    got = encode(spark.createDataFrame(rows, "doc_id long, text string"), head_bytes=0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert {r.doc_id: r.ids for r in got.collect()} == {i: t if t is None else own.encode_ordinary(t) for i, t in rows}
