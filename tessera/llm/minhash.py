@@ -11,9 +11,10 @@ Steps, none of them quadratic in a group's size:
 3. In each list a leader is compared with the others by the sketch of the union (:func:`list_links`). Those near it
    are linked to it alone; the rest have a leader of their own.
 4. Links are verified by the exact Jaccard coefficient of the whole shingle sets: the best one of each document
-   first, then those whose ends the verified ones haven't joined yet. A document none of whose links proves true is
-   then compared with all others of its lists.
-5. Connected components of the verified links are the groups.
+   first, then those whose ends the verified ones haven't joined yet.
+5. Where a list's documents are in several components by then, all those of different ones are compared with each
+   other, and what may be near is verified: a link between two components is found whatever leaders they had.
+6. Connected components of the verified links are the groups.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,10 @@ SKETCH = 64
 #: Retained values that partners share. Of pairs at NEAR that are worst off, a set and a part of it, all but 0.003 % do:
 #: of the larger one's values the smaller one has each with a chance of 0.4.
 NEEDED = 10
-#: Estimates this much below NEAR are still verified: 2.5 standard errors.
+#: Estimates this much below NEAR still count as near a leader: 2.5 standard errors.
 SLACK = 0.15
+#: The least estimate that is verified, in lists of two and between components: partners share NEEDED values.
+FAINT = NEEDED / SKETCH
 _TOP = np.iinfo(np.uint32).max
 
 
@@ -88,13 +92,13 @@ def union_estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return shared / np.maximum(1, np.minimum(rank[:, -1], SKETCH))
 
 
-def list_links(sketch: np.ndarray, again: np.ndarray | None = None, least: float = NEAR - SLACK) -> list[tuple[int, int, float]]:
+def list_links(sketch: np.ndarray, root: np.ndarray | None = None, least: float = NEAR - SLACK) -> list[tuple[int, int, float]]:
     """Links ``(i, j, estimate)`` among the documents of one list, by their positions in it.
 
     The leader is the document whose sketch has most in common with all others of the list. Those near it are linked
     to it alone; the others go on among themselves with a leader of their own, which is also compared with those
-    linked so far unless the triangle inequality of the Jaccard distance rules a link out. With ``again``, the
-    documents that it marks are compared with all others instead.
+    linked so far unless the triangle inequality of the Jaccard distance rules a link out. With ``root``, the component
+    of each document, all those of different components are compared instead.
     """
     n = len(sketch)
     links: list[tuple[int, int, float]] = []
@@ -104,9 +108,13 @@ def list_links(sketch: np.ndarray, again: np.ndarray | None = None, least: float
         links.extend((one, j, e) for j, e in zip(many[estimate >= least].tolist(), estimate[estimate >= least].tolist()))
         return estimate
 
-    if again is not None:
-        for i in np.flatnonzero(again).tolist():
-            compare(i, np.setdiff1d(np.arange(n), [i]))
+    if root is not None:
+        _, of, size = np.unique(root, return_inverse=True, return_counts=True)
+        order = np.lexsort((of, size[of]))  # the largest component comes last: its own documents have nothing to compare
+        ends = np.cumsum(np.diff(np.flatnonzero(np.append(True, np.append(np.diff(of[order]) != 0, True)))))
+        for end, first in zip(ends.tolist(), [0, *ends[:-1].tolist()]):
+            for i in order[first:end].tolist() if end < n else ():
+                compare(i, order[end:])
         return links
     _, of, times = np.unique(sketch, return_inverse=True, return_counts=True)
     common = (times[of].reshape(sketch.shape) * (sketch != _TOP)).sum(axis=1)
@@ -127,20 +135,20 @@ def list_links(sketch: np.ndarray, again: np.ndarray | None = None, least: float
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by value: links of each list, once for each pair in a block of lists."""
+    """From rows sorted by value: links of each list, once for each pair in a block of lists; by ``root`` where there is one."""
 
-    def out(value, ids, sketch, again):
+    def out(value, ids, sketch, root, rooted):
         edges = [0, *(np.flatnonzero(np.diff(value)) + 1).tolist(), len(value)]
         start, size = np.array(edges[:-1]), np.diff(edges)
         found = []
         two = start[size == 2]
         if len(two):  # most lists
             estimate = union_estimate(sketch[two], sketch[two + 1])
-            hit = estimate >= NEAR - SLACK
+            hit = estimate >= FAINT
             found.append(np.rec.fromarrays([ids[two[hit]], ids[two[hit] + 1], estimate[hit]], names="a,b,e"))
         for s, m in zip(start[size > 2].tolist(), size[size > 2].tolist()):
             part = slice(s, s + m)
-            links = list_links(sketch[part], again[part] if again[part].any() else None)
+            links = list_links(sketch[part], root[part], FAINT) if rooted[s] else list_links(sketch[part])
             if links:
                 i, j, e = (np.array(x) for x in zip(*links))
                 found.append(np.rec.fromarrays([ids[s + i], ids[s + j], e], names="a,b,e"))
@@ -162,7 +170,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length = batch.column("sketch").value_lengths().to_numpy()
         sketch = np.full((batch.num_rows, SKETCH), _TOP, np.uint32)
         sketch[np.arange(SKETCH) < length[:, None]] = batch.column("sketch").flatten().to_numpy().view(np.uint32)
-        held.append((value, batch.column("doc_id").to_numpy(), sketch, batch.column("again").to_numpy(zero_copy_only=False)))
+        root = batch.column("root")
+        held.append((value, batch.column("doc_id").to_numpy(), sketch, pc.fill_null(root, 0).to_numpy(), root.is_valid().to_numpy(zero_copy_only=False)))
         count += batch.num_rows
         if count >= 20_000:
             columns = [np.concatenate(x) for x in zip(*held)]
@@ -238,7 +247,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     def linked(rows: DataFrame) -> DataFrame:
         rows = rows.join(reps.select("doc_id", "sketch"), "doc_id").repartition("value").sortWithinPartitions("value", "doc_id")
-        return cut(rows.select("value", "doc_id", "sketch", "again").mapInArrow(_links, "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate")))
+        return cut(rows.select("value", "doc_id", "sketch", "root").mapInArrow(_links, "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate")))
 
     def best(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "estimate")
@@ -248,9 +257,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
         end = lambda c: label.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
         return pairs.join(end("a"), "a", "left").join(end("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b", "estimate")
 
-    def joined(pairs: DataFrame, sure: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def joined(pairs: DataFrame, sure: DataFrame | None = None, label: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """Verified links and their components: the best link of each document first, then those still apart."""
-        label = components(sure) if sure else None
         for choose in (best, lambda left: left.select("a", "b")):
             left = apart(pairs, label) if label else pairs
             more = verified(texts.df, cut(choose(left)))
@@ -259,18 +267,19 @@ def near_groups(docs: DataFrame) -> DataFrame:
             release(spark)
         return sure, label
 
-    pairs = linked(lists.withColumn("again", F.lit(False)))
+    pairs = linked(lists.withColumn("root", F.lit(None).cast("long")))
     release(spark)
     ends = lists.select("doc_id").distinct()
     texts = Written(documents(docs, "doc_id", "text").join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
     release(spark)
-    sure, label = joined(pairs, None)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    alone = cut(ends.join(label.select(F.col("node").alias("doc_id")), "doc_id", "left_anti").withColumn("again", F.lit(True)))
-    if not alone.isEmpty():
-        open_ = lists.join(lists.join(alone, "doc_id", "left_semi").select("value").distinct(), "value", "left_semi")
-        more = linked(open_.join(alone, "doc_id", "left").withColumn("again", F.coalesce("again", F.lit(False))))
-        sure, label = joined(more.join(pairs, ["a", "b"], "left_anti"), sure)
+    sure, label = joined(pairs)
+    rooted = lists.join(label.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    # Of two documents, the link has been verified.
+    apart_in = rooted.groupBy("value").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low <> high").select("value")
+    more = cut(linked(rooted.join(apart_in, "value", "left_semi")).join(pairs, ["a", "b"], "left_anti"))
+    release(spark)
+    if not more.isEmpty():
+        sure, label = joined(more, sure, label)
     texts.drop()
     distinct.drop()
     found = member.join(label.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("group_id"))

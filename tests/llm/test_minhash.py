@@ -113,3 +113,26 @@ def test_components_of_a_long_path(spark):
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {i: 1 for i in range(1, 71)} | {100: 100, 200: 100}
     assert components(links.where(F.lit(False))).collect() == []
+
+
+def test_links_between_those_near_one_leader(spark):
+    """``a`` and ``b`` are near; in all lists that they share they follow a leader near neither, and each has a copy of its own."""
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    common = words("x", 26)
+    a, b = common + words("a", 13), words("b", 13) + common
+    lead = words("l", 19) + common + words("m", 19)
+    texts = [a, b, a[7:], b[:-7]] + [lead + [f"end{k}"] for k in range(12)]
+    rows = [(i + 1, " ".join(t)) for i, t in enumerate(texts)]
+    want = brute_force(rows)
+    assert {want[i] for i in (1, 2, 3, 4)} == {(1, 4)}
+    got = near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.group_id, r.group_size) for r in got.collect()} == want
+
+
+def test_lists_compare_all_that_are_apart():
+    rng = np.random.default_rng(2)
+    sketch = np.sort(rng.integers(0, 150, (30, SKETCH)).astype(np.uint32), axis=1)
+    sketch = np.stack([np.pad(np.unique(s), (0, SKETCH - len(np.unique(s))), constant_values=_TOP) for s in sketch])
+    root = rng.integers(0, 4, 30)
+    want = {(i, j) for i in range(30) for j in range(i + 1, 30) if root[i] != root[j] and union_estimate(sketch[i], sketch[[j]])[0] >= 0.3}
+    assert want and {(min(i, j), max(i, j)) for i, j, _ in list_links(sketch, root, 0.3)} == want
