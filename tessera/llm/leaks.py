@@ -42,6 +42,8 @@ SEEN = 0.2
 COMMON, UNSEEN = 0.01, 2000
 #: Splits of the table that one task of the decomposition reads: what is shuffled is a sum of fixed size from each.
 SPLITS = 8
+#: Rows of a piece of a sum (:func:`_products`).
+PIECE = 8
 #: Parts in which the tasks' sums are added up first.
 PARTS = 32
 
@@ -70,6 +72,29 @@ def _sums(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _products(table: np.ndarray, at: np.ndarray, value: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Rows ``at`` of ``table``, each times its ``value``, summed by ``group``, which is sorted.
+
+    Groups are filled up to whole pieces of ``PIECE`` rows, so that a piece is one small matrix product.
+    """
+    count = np.bincount(group, minlength=n)
+    pieces = -(-count // PIECE)
+    base, total = np.cumsum(pieces) - pieces, int(pieces.sum())
+    slot = np.arange(len(group)) + np.repeat(base * PIECE - (np.cumsum(count) - count), count)
+    index, weight = np.zeros(total * PIECE, np.int64), np.zeros(total * PIECE, np.float32)
+    index[slot], weight[slot] = at, value
+    index, weight = index.reshape(-1, PIECE), weight.reshape(-1, 1, PIECE)
+    sums = np.empty((total, table.shape[1]), np.float32)
+    for lot in range(0, total, 256):  # what is gathered stays in the cache
+        sums[lot : lot + 256] = np.matmul(weight[lot : lot + 256], table[index[lot : lot + 256]])[:, 0]
+    out = np.zeros((n, table.shape[1]), np.float32)
+    some = np.flatnonzero(pieces)
+    out[some] = sums[base[some]]
+    more = np.ones(total, bool)
+    more[base[some]] = False
+    return out + _sums(sums[more], np.repeat(np.arange(n), pieces)[more], n) if more.any() else out
+
+
 def _block_sums(table: np.ndarray, w: Words, row: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The table's rows of each block's words, summed; the table's last row is zero."""
     at = first[:, None] + np.arange(BLOCK)
@@ -138,7 +163,7 @@ def directions(texts: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, omega = sent.value
-        y, table = np.zeros(omega.shape, np.float32), _weighted(omega, idf)
+        y = np.zeros(omega.shape, np.float32)
         for b in slices(batches, "text"):
             w = Words(b.column("text"))
             pairs, n = _pairs(w)
@@ -153,10 +178,9 @@ def directions(texts: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
             norm = np.sqrt(np.bincount(passage, value * value, n))
             norm = np.maximum(norm, 1e-9)
             value = (value / norm[passage]).astype(np.float32)
-            _, row, first = _blocks(w)
-            z = _sums(_block_sums(table, w, row, first), _passages(row, len(w.first) - 1), n) / norm[:, None].astype(np.float32)
+            z = _products(omega, term, value, passage, n)
             order = np.argsort(term.astype(np.uint16), kind="stable")
-            y += _sums(z[passage[order]] * value[order, None], term[order], TERMS)
+            y += _products(z, passage[order], value[order], term[order], TERMS)
         task, part = TaskContext.get().partitionId() % PARTS, 1 << 10
         for i in range(0, TERMS, part):
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([task]), pa.array([y[i : i + part].tobytes()], pa.binary())], ["at", "part", "y"])
@@ -322,7 +346,7 @@ def _found(w: Words, items: Items, table: np.ndarray) -> list[tuple[int, int, fl
 
     seen: set[tuple[int, int]] = set()
     for lot in range(0, len(at), 4096):
-        p, q = np.nonzero(two[lot : lot + 4096] @ items.query.T >= NEAR)
+        p, q = np.divmod(np.flatnonzero(two[lot : lot + 4096] @ items.query.T >= NEAR), len(items.query))
         for b, k in zip(at[lot + p].tolist(), items.owner[q].tolist()):
             if (b, k) in seen:
                 continue

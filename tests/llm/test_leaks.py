@@ -150,3 +150,16 @@ def test_all_items_against_all_texts(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.covered for r in leaks(df, bench).collect()}
     assert got == want and any(k == 50 for _, k in got)
+
+
+def test_products_against_a_loop():
+    from tessera.llm.leaks import PIECE, _products
+
+    rng = np.random.default_rng(4)
+    table = rng.normal(size=(50, 6)).astype(np.float32)
+    for size in (0, 1, PIECE, 400):
+        at, value, group = rng.integers(0, 50, size), rng.normal(size=size).astype(np.float32), np.sort(rng.choice([0, 2, 3, 7, 9], size))
+        want = np.zeros((11, 6), np.float32)
+        for a, v, g in zip(at, value, group):
+            want[g] += table[a] * v
+        assert np.allclose(_products(table, at, value, group, 11), want, atol=1e-4)
