@@ -30,7 +30,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes of words and ids that are looked up without a shuffle, whatever the corpus' size.
 HEAD_BYTES = 16 << 20
 #: Words of which the ids are put together at a time; a longer text comes alone and whole.
-LOT = 1 << 20
+LOT = 1 << 18
 
 
 def ranks(vocabulary: str) -> dict[bytes, int]:
