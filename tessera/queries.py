@@ -390,10 +390,9 @@ _EDGES = f"{_PAIRS}, s AS (SELECT a AS id, b AS candidate, cos FROM p UNION ALL
 
 
 def _scored(spark, folder):
-    pairs = _pairs(spark, folder)
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("candidate"), "cos").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("candidate"), "cos"))
-    label = t(spark, folder, "embeddings").select("vec_id", "label")
-    named = both.join(label.select(F.col("vec_id").alias("id"), F.col("label").alias("x")), "id").join(label.select(F.col("vec_id").alias("candidate"), F.col("label").alias("y")), "candidate")
+    pairs = _pairs(spark, folder, "label")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("candidate")), F.struct(F.col("b").alias("id"), F.col("a").alias("candidate")))).alias("_e")
+    named = pairs.select(ends, "cos", F.col("label_a").alias("x"), F.col("label_b").alias("y")).select("_e.*", "cos", "x", "y")
     same = F.col("x") == F.col("y")
     return named.select("id", "candidate", dedup.weighted(same & (F.col("id") % 2 == F.col("candidate") % 2), (2.0, F.col("cos")), (1.0, F.when(same, 1.0).otherwise(0.0))).alias("score"))
 
