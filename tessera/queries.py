@@ -412,9 +412,8 @@ def components(spark, folder):
     " SELECT a, b, round(m, 6) AS weight, round(pow(2, m) / (1 + pow(2, m)), 6) AS probability FROM w"
 )
 def fellegi_sunter(spark, folder):
-    label = t(spark, folder, "embeddings").select("vec_id", "label")
-    p = _pairs(spark, folder).join(label.select(F.col("vec_id").alias("a"), F.col("label").alias("x")), "a").join(label.select(F.col("vec_id").alias("b"), F.col("label").alias("y")), "b")
-    weight, chance = resolve.linkage((F.when(F.col("x") == F.col("y"), 1.0).otherwise(0.0), resolve.EXACT), (F.col("cos"), resolve.COSINE))
+    p = _pairs(spark, folder, "label")
+    weight, chance = resolve.linkage((F.when(F.col("label_a") == F.col("label_b"), 1.0).otherwise(0.0), resolve.EXACT), (F.col("cos"), resolve.COSINE))
     return p.select("a", "b", F.round(weight, 6).alias("weight"), F.round(chance, 6).alias("probability"))
 
 
