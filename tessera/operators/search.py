@@ -12,6 +12,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -23,6 +24,8 @@ from tessera.functions.vector import clamp, cosine, recency
 POOL, SMOOTH = 150, 60
 #: Queries of up to so many are sent to all executors; more meet the documents in a shuffle.
 BATCH = 100_000
+#: Queries whose words make a matrix, its cells, and the documents that are multiplied with it at once.
+MATRIX_ROWS, MATRIX_CELLS, MATRIX_DOCS = 2000, 1 << 24, 512
 
 
 def ranked(scored: DataFrame, *order: Column, keep: int | None = None) -> DataFrame:
@@ -39,16 +42,116 @@ def small(df: DataFrame, rows: int = BATCH, size: int = 64 << 20) -> DataFrame:
     return F.broadcast(df) if bytes_ <= size else df
 
 
+def _plain_hits(docs: DataFrame, words: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """``query_id, doc_id, asked, n, density`` by a join of tokens and an aggregation: for queries of any number."""
+    asked = small(words.select("query_id", F.size("tokens").alias("asked"), F.explode("tokens").alias("token")))
+
+    def of(c: str) -> Column:
+        weight = F.lit(float(weights[c])).alias("w")
+        return F.transform(F.array_distinct(tokens(F.coalesce(F.col(c), F.lit("")))), lambda x: F.struct(x.alias("token"), weight))
+
+    each = docs.select("doc_id", F.explode(F.flatten(F.array(*map(of, weights)))).alias("x")).select("doc_id", "x.*")
+    held = each if len(weights) == 1 else each.groupBy("doc_id", "token").agg(F.max("w").alias("w"))
+    hits = held.join(asked, "token").groupBy("query_id", "doc_id")
+    return hits.agg(F.max("asked").alias("asked"), F.count("*").alias("n"), F.round(F.sum("w"), 9).alias("density"))
+
+
+def _word_hits(docs: DataFrame, queries: DataFrame, weights: dict[str, float], keep: int, whole_first: bool) -> DataFrame:
+    """``query_id, doc_id, asked, n, density`` of the documents that may be among the ``keep`` first of each query: how many
+    of its words they have and how heavy those are.
+
+    Every batch of documents is multiplied with the matrix of the queries' words, and a task passes on only what is
+    among the first of its own documents, so neither its memory nor the shuffle follows pairs of documents and
+    queries. Queries beyond the bounds of that matrix and ids that several documents share take :func:`_plain_hits`.
+    """
+    words = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("tokens"))
+    rows = words.where(F.size("tokens") > 0).limit(MATRIX_ROWS + 1).collect()
+    place: dict[str, int] = {}
+    for r in rows:
+        for x in r.tokens:
+            place.setdefault(x, len(place))
+    same_id = len({r.query_id for r in rows}) < len(rows)
+    if not rows or len(rows) > MATRIX_ROWS or len(rows) * len(place) > MATRIX_CELLS or same_id:
+        return _plain_hits(docs, words, weights)
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_shared"))
+    several = shared.limit(BATCH + 1).count()
+    if several > BATCH:
+        return _plain_hits(docs, words, weights)
+    rest = None
+    if several:
+        is_shared = docs["doc_id"].eqNullSafe(shared["_shared"])
+        rest = _plain_hits(docs.join(F.broadcast(shared), is_shared, "left_semi"), words, weights)
+        docs = docs.join(F.broadcast(shared), is_shared, "left_anti")
+    matrix = np.zeros((len(place), len(rows)), np.float32)
+    for q, r in enumerate(rows):
+        matrix[[place[x] for x in r.tokens], q] = 1
+    ids = pa.array([r.query_id for r in rows], to_arrow_type(queries.schema["query_id"].dataType))
+    asks = np.array([len(r.tokens) for r in rows], np.int32)
+    # The heaviest column that has a word decides its weight: it is set last.
+    classes = sorted({float(w) for w in weights.values()})
+    columns = sorted(weights, key=lambda c: float(weights[c]))
+    sent = docs.sparkSession.sparkContext.broadcast((ids, asks, pa.array(list(place), pa.string()), matrix))
+    above = 2 * len(place) * max(map(abs, classes)) + 1 if whole_first else 0.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, asks, vocabulary, matrix = sent.value
+        least = np.full(len(asks), -np.inf)
+        best: list[pa.Table] = []
+
+        def trim() -> None:
+            whole = pa.concat_tables(best).combine_chunks()
+            whole = whole.take(pc.sort_indices(whole, sort_keys=[("q", "ascending"), ("key", "descending"), ("doc_id", "ascending")]))
+            q = whole.column("q").to_numpy()
+            nth = np.arange(len(q)) - np.searchsorted(q, q)
+            last = np.flatnonzero(nth == keep - 1)
+            least[q[last]] = whole.column("key").to_numpy()[last]
+            best[:] = [whole.filter(pa.array(nth < keep))]
+
+        for b in batches:
+            found = []
+            for c in columns:
+                lists = b.column(f"_{c}")
+                at = pc.index_in(lists.flatten(), value_set=vocabulary).fill_null(-1).to_numpy()
+                row = np.repeat(np.arange(len(b)), lists.value_lengths().fill_null(0).to_numpy())
+                found.append((row[at >= 0], at[at >= 0]))
+            for start in range(0, len(b), MATRIX_DOCS):
+                size = min(MATRIX_DOCS, len(b) - start)
+                kind = np.full((size, len(vocabulary)), -1, np.int8)
+                for c, (row, at) in zip(columns, found):
+                    part = slice(*np.searchsorted(row, [start, start + size]))
+                    kind[row[part] - start, at[part]] = classes.index(float(weights[c]))
+                n, density = np.zeros((size, len(asks)), np.float32), np.zeros((size, len(asks)))
+                for k, w in enumerate(classes):
+                    of = kind == k
+                    if of.any():
+                        count = of.astype(np.float32) @ matrix
+                        n += count
+                        density += w * count.astype(float)
+                density = density.round(9)
+                key = density + above * (n == asks) if whole_first else density
+                d, q = np.nonzero((n > 0) & (key >= least))
+                if len(d):
+                    best.append(pa.table({"q": q.astype(np.int32), "doc_id": b.column("doc_id").take(pa.array(d + start)), "n": n[d, q].astype(np.int64), "density": density[d, q], "key": key[d, q]}))
+                if sum(map(len, best)) > 1_000_000 + 2 * keep * len(asks):
+                    trim()
+        if best:
+            trim()
+            for b in best[0].combine_chunks().to_batches(1 << 16):
+                q = b.column("q")
+                yield pa.RecordBatch.from_arrays([ids.take(q), b.column("doc_id"), pa.array(asks).take(q), b.column("n"), b.column("density")], ["query_id", "doc_id", "asked", "n", "density"])
+
+    kind = {f: df.schema[f].dataType.simpleString() for df, f in ((queries, "query_id"), (docs, "doc_id"))}
+    read = docs.select("doc_id", *[tokens(F.col(c)).alias(f"_{c}") for c in columns])
+    hits = read.mapInArrow(run, f"query_id {kind['query_id']}, doc_id {kind['doc_id']}, asked int, n long, density double")
+    return hits.unionByName(rest) if rest is not None else hits
+
+
 def lexical(docs: DataFrame, queries: DataFrame, keep: int = POOL) -> DataFrame:
     """``query_id, doc_id, overlap, share, rank`` by how many of a query's distinct tokens a document has (MD3).
 
-    ``docs`` has ``doc_id, text``, ``queries`` has ``query_id, text``. A join of tokens: documents meet only queries
-    they share a token with, and the partial counts of a document stay in its task.
+    ``docs`` has ``doc_id, text``, ``queries`` has ``query_id, text``.
     """
-    words = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("tokens"))
-    asked = small(words.select("query_id", F.size("tokens").alias("asked"), F.explode("tokens").alias("token")))
-    held = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    hits = held.join(asked, "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("overlap"), F.max("asked").alias("asked"))
+    hits = _word_hits(docs, queries, {"text": 1.0}, keep, False).select("query_id", "doc_id", F.col("n").alias("overlap"), "asked")
     return ranked(hits.withColumn("share", F.col("overlap") / F.col("asked")), F.desc("overlap"), keep=keep)
 
 
@@ -128,6 +231,10 @@ def covered(docs: DataFrame, queries: DataFrame, weights: dict[str, float], keep
     ``weights`` names text columns of ``docs`` and how much a word counts there, of several the most; ``density`` is the
     sum over the query's words. Words are joined, so documents meet only queries that they share one with.
     """
+    if not sound:
+        hits = _word_hits(docs, queries, weights, keep, True)
+        hits = hits.select("query_id", "doc_id", (F.col("n") == F.col("asked")).alias("whole"), "density", F.lit(0).cast("long").alias("sounds"))
+        return ranked(hits, F.desc("whole"), F.desc("density"), F.desc("sounds"), keep=keep)
     words = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("tokens"))
     asked = small(words.select("query_id", F.size("tokens").alias("asked"), F.explode("tokens").alias("token")))
 
@@ -140,10 +247,9 @@ def covered(docs: DataFrame, queries: DataFrame, weights: dict[str, float], keep
         return docs.select("doc_id", F.explode(each).alias("x")).groupBy("doc_id", "x.token").agg(F.max("x.w").alias("w"))
 
     own = held(tokens).join(asked, "token").select("query_id", "doc_id", "asked", "w", F.lit(0).alias("s"))
-    if sound:
-        heard = asked.select("query_id", "asked", sound(F.col("token")).alias("token")).where("token <> ''").distinct()
-        own = own.unionByName(held(lambda c: F.filter(F.transform(tokens(c), sound), lambda x: x != "")).join(heard, "token").select("query_id", "doc_id", "asked", F.lit(0.0).alias("w"), F.lit(1).alias("s")))
-    hits = own.groupBy("query_id", "doc_id").agg((F.count_if(F.col("s") == 0) == F.max("asked")).alias("whole"), F.sum("w").alias("density"), F.sum("s").alias("sounds"))
+    heard = asked.select("query_id", "asked", sound(F.col("token")).alias("token")).where("token <> ''").distinct()
+    own = own.unionByName(held(lambda c: F.filter(F.transform(tokens(c), sound), lambda x: x != "")).join(heard, "token").select("query_id", "doc_id", "asked", F.lit(0.0).alias("w"), F.lit(1).alias("s")))
+    hits = own.groupBy("query_id", "doc_id").agg((F.count_if(F.col("s") == 0) == F.max("asked")).alias("whole"), F.round(F.sum("w"), 9).alias("density"), F.sum("s").alias("sounds"))
     return ranked(hits, F.desc("whole"), F.desc("density"), F.desc("sounds"), keep=keep)
 
 
