@@ -145,8 +145,15 @@ def pairwise(gold: DataFrame, got: DataFrame) -> DataFrame:
     return c.withColumns({"p": share("fp"), "r": share("fn")})
 
 
-def recall(hits: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
-    """``query_id, recall, precision`` among the first ``k`` hits; queries without hits have 0 (AG25)."""
+def recall(hits: DataFrame, relevant: DataFrame | Column, k: int = 10) -> DataFrame:
+    """``query_id, recall, precision`` among the first ``k`` hits; queries without hits have 0 (AG25).
+
+    What is relevant is a frame, or a flag of the hits if only hits are relevant, which then are read once.
+    """
+    if isinstance(relevant, Column):
+        each = hits.groupBy("query_id", "doc_id").agg(F.max(F.coalesce(relevant, F.lit(False))).alias("_good"), (F.min("rank") <= k).alias("_head"))
+        rows = each.groupBy("query_id").agg(F.count_if("_good").alias("_all"), F.count_if(F.col("_good") & F.col("_head")).alias("_hit"), F.count_if("_head").alias("_shown")).where("_all > 0")
+        return rows.select("query_id", (F.col("_hit") / F.col("_all")).alias("recall"), F.coalesce(F.try_divide(F.col("_hit"), F.col("_shown")), F.lit(0.0)).alias("precision"))
     head = hits.where(F.col("rank") <= k).select("query_id", "doc_id").distinct()
     good = relevant.select("query_id", "doc_id").distinct()
     n = good.groupBy("query_id").agg(F.count("*").alias("_all"))
