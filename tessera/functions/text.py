@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +28,11 @@ SOUNDS = {
 }
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` computed once for a row, however often ``f`` names it and in whatever branch."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def unaccent(c: Column) -> Column:
     return F.translate(c, _ACCENTED, _PLAIN)
 
@@ -156,8 +162,11 @@ def bigrams(c: Column) -> Column:
 
 def stub_embedding(c: Column, dims: int = 8) -> Column:
     """A vector that follows from the text alone: each word counts in the dimension that its MD5 names (SC32)."""
-    slot = F.transform(tokens(c), lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dims)
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slot, lambda s: s == i)).cast("double"))
+    if 16 % dims == 0:  # the last of the eight digits decides
+        slot = F.transform(tokens(c), lambda w: (F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(w), 8, 1)) - 1) % dims)
+    else:
+        slot = F.transform(tokens(c), lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dims)
+    return bound(slot, lambda slots: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double")))
 
 
 def image_hash(raw: bytes) -> str:
