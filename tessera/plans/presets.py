@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import first_filled, overlaps
+from tessera.functions.text import bound, first_filled, overlaps
 from tessera.plans.model import Field
 
 #: The least confidence of an enrichment that is indexed, by preset.
@@ -45,8 +45,7 @@ def _enriched(path: str) -> Column:
 
 def _many(path: str) -> Column:
     """Texts of an array, or of a single text; none where there is neither."""
-    raw = _enriched(path)
-    return F.coalesce(F.from_json(raw, "array<string>"), F.when(raw != "", F.array(raw)), F.array().cast("array<string>"))
+    return bound(_enriched(path), lambda raw: F.coalesce(F.from_json(raw, "array<string>"), F.when(raw != "", F.array(raw)), F.array().cast("array<string>")))
 
 
 def _sentence(lead: str, c: Column, end: str = ".") -> Column:
@@ -59,14 +58,17 @@ def _joined(*parts: Column, by: str = " ") -> Column:
 
 def named_category(text: Column) -> Column:
     """The first category that a text names, by itself or by one of its garments; null if none."""
-    low = F.lower(text)
-    out = F.lit(None).cast("string")
-    for category, names in reversed(GARMENTS.items()):
-        hit = low.contains(category)
-        for n in names.split():
-            hit = hit | low.contains(n)
-        out = F.when(hit, category).otherwise(out)
-    return out
+
+    def first(low: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for category, names in reversed(GARMENTS.items()):
+            hit = low.contains(category)
+            for n in names.split():
+                hit = hit | low.contains(n)
+            out = F.when(hit, category).otherwise(out)
+        return out
+
+    return bound(F.lower(text), first)
 
 
 def unsure(preset: str) -> Column:
